@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filters
+from . import bpe, chat_format, url_filters
 
-MODULES = [url_filters, chat_format]
+MODULES = [url_filters, chat_format, bpe]
 
 
 def queries() -> dict:
