@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Split: every text is cut into pre-tokens by the pattern. Texts are taken in blocks (a few
-   thousand rows at most); a block keeps its pre-tokens' positions as a sequence of numbers
-   into its own list of distinct pre-tokens, in the order of their first place.
-2. Words: the blocks' lists are exploded, made distinct over the whole corpus by a shuffle
-   with partial aggregation, and each distinct word is encoded once.
-3. Join back: (block, number, word) joins (word, ids). A word has one row for each block, so even
-   the most frequent one is a small share of the rows.
-4. Reassemble: blocks and their words meet by block; ids are gathered by position.
+1. Split: every text is cut into pre-tokens by the pattern. Texts are taken in blocks; a block
+   keeps its pre-tokens' positions as a packed sequence of numbers into its own list of
+   distinct pre-tokens, the most frequent first.
+2. Words: the blocks' lists are exploded and shuffled by word, so that all uses of a distinct
+   word meet, sorted, in one task; there it is encoded once. A word has one row for each
+   block, so even the most frequent one is a small share of the rows.
+3. Join back: the ids go to the blocks by (block, number), packed by block.
+4. Reassemble: blocks (bucketed by block, not shuffled) and ids meet; ids are gathered by position.
    Decoding is a separate pass over ids alone, against the token-byte table (bounded by
    the vocabulary, so it is broadcast).
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
-
 #: Characters of text in a block, about; a longer text is a block by itself.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 32_000_000
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -72,7 +71,7 @@ def encoder(path: str, pat: str):
 
 def _blocks(texts_limit: int, pat: str):
     """Arrow batches of (doc_id, text) -> one row for each block."""
-    schema = pa.schema([("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("seq", pa.binary()), ("words", pa.list_(pa.binary()))])
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("seq", pa.binary()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
         from pyspark import TaskContext
@@ -86,9 +85,15 @@ def _blocks(texts_limit: int, pat: str):
 
         def out():
             nonlocal n, chars
-            seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            seq = np.concatenate(parts)
+            # frequent words get small numbers, so that the packed sequence is short
+            order = np.argsort(-np.bincount(seq, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            seq = rank[seq]
+            names = list(number)
             row = pa.RecordBatch.from_pylist(
-                [{"block": f"{task}-{n}", "docs": list(docs), "sizes": np.array(sizes, np.uint32).tobytes(), "seq": pack(seq), "words": [w.encode("utf-8", "surrogatepass") for w in number]}], schema=schema
+                [{"block": (task << 24) + n, "docs": list(docs), "sizes": np.array(sizes, np.uint32).tobytes(), "seq": pack(seq), "words": [names[i].encode("utf-8", "surrogatepass") for i in order.tolist()]}], schema=schema
             )
             n += 1
             chars = 0
@@ -136,50 +141,77 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def _encode_words(path: str, pat: str):
+def _encode_words(path: str, pat: str, flush: int = 200_000):
+    """(word, owner, number) sorted by word -> (owner, payload): each distinct word is encoded once, ids go by block."""
+
+    def out(held):
+        owners, rows = [], []
+        for owner, (numbers, ids) in held.items():
+            owners.append(owner)
+            sizes = np.array([len(x) for x in ids], np.uint32)
+            flat = np.array([i for x in ids for i in x], np.uint32)
+            rows.append((pack(np.array(numbers, np.uint32)), pack(sizes), pack(flat)))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], ["owner", "numbers", "sizes", "flat"])
+
     def run(batches):
         enc = encoder(path, pat)
+        last, ids, held, n = None, [], {}, 0
         for batch in batches:
-            ids = [np.array(enc._encode_single_piece(w.as_py()), np.uint32).tobytes() for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            for word, owner, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if word != last:
+                    last, ids = word, enc._encode_single_piece(word)
+                mine = held.get(owner)
+                if mine is None:
+                    mine = held[owner] = ([], [])
+                mine[0].append(number)
+                mine[1].append(ids)
+                n += 1
+            if n >= flush:
+                yield out(held)
+                held, n = {}, 0
+        if held:
+            yield out(held)
 
     return run
 
 
 def _assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """One block: its documents' ids as packed 32-bit numbers."""
-    names = {int(k): np.frombuffer(v, np.uint32) for k, v in zip(right.column("number").to_pylist(), right.column("ids").to_pylist())}
+    parts = [(unpack(a), unpack(b), unpack(c)) for a, b, c in zip(*(right.column(x).to_pylist() for x in ("numbers", "sizes", "flat")))]
+    numbers, sizes, flat = (np.concatenate(x) if parts else np.zeros(0, np.uint32) for x in (zip(*parts) if parts else ((), (), ())))
+    ends = np.cumsum(sizes.astype(np.int64))
+    starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    starts[numbers] = ends - sizes
+    lengths[numbers] = sizes
     docs, packed = [], []
     for row in left.to_pylist():
-        table = [names[i] for i in range(len(names))]
-        lengths = np.array([len(x) for x in table], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if table else np.zeros(0, np.int64)
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        seq, sizes = unpack(row["seq"]), np.frombuffer(row["sizes"], np.uint32)
-        at = 0
-        for doc, size in zip(row["docs"], sizes):
+        seq, at = unpack(row["seq"]), 0
+        for doc, size in zip(row["docs"], np.frombuffer(row["sizes"], np.uint32).tolist()):
             s = seq[at : at + size]
-            at += int(size)
+            at += size
             n = lengths[s]
-            total = int(n.sum())
-            offset = np.repeat(starts[s] - np.concatenate([[0], np.cumsum(n)[:-1]]) if size else np.zeros(0, np.int64), n)
+            before = np.cumsum(n) - n
+            packed.append(flat[np.repeat(starts[s] - before, n) + np.arange(int(n.sum()))].astype("<u4").tobytes())
             docs.append(doc)
-            packed.append(flat[offset.astype(np.int64) + np.arange(total)].astype("<u4").tobytes())
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(packed, pa.binary())})
 
 
 def encode_documents(docs: DataFrame, path: str = "", pat: str = "", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian 32-bit numbers, packed) for each row of docs (doc_id, text)."""
-    blocks = store(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            _blocks(block_chars, pat), "block string, docs array<bigint>, sizes binary, seq binary, words array<binary>"
-        ),
-        "bpe-blocks",
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"hawthorn_bpe_{uuid.uuid4().hex}"
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _blocks(block_chars, pat), "block bigint, docs array<bigint>, sizes binary, seq binary, words array<binary>"
     )
+    # bucketed by block, so that the sequences needn't be shuffled to meet their words
+    found.write.option("compression", "zstd").bucketBy(n, "block").format("parquet").saveAsTable(name)
+    blocks = spark.table(name)
     uses = blocks.select(F.col("block").alias("owner"), F.posexplode("words").alias("number", "word"))
-    encoded = uses.select("word").distinct().mapInArrow(_encode_words(path, pat), "word binary, ids binary")
-    joined = uses.join(encoded, "word").select("owner", "number", "ids")
-    return blocks.select("block", "docs", "sizes", "seq").groupBy("block").cogroup(joined.groupBy("owner")).applyInArrow(_assemble, "doc_id bigint, ids binary")
+    sent = uses.select("word", "owner", "number").repartition(n, "word").sortWithinPartitions("word")
+    encoded = sent.mapInArrow(_encode_words(path, pat), "owner bigint, numbers binary, sizes binary, flat binary")
+    return blocks.select("block", "docs", "sizes", "seq").groupBy("block").cogroup(encoded.groupBy("owner")).applyInArrow(_assemble, "doc_id bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str = "") -> DataFrame:
