@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_topk, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from . import bpe, chat_format, exact_topk, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
 
-MODULES = [url_filters, chat_format, bpe, suffix_dedup, minhash_dedup, quality_rules, exact_topk, mixing, quality_classifier]
+MODULES = [url_filters, chat_format, bpe, suffix_dedup, minhash_dedup, quality_rules, exact_topk, mixing, quality_classifier, license_scan]
 
 
 def queries() -> dict:
