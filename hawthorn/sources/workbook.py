@@ -44,6 +44,7 @@ def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
             target = targets[sheet.get(f"{LINK}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            found = []
             for at, row in enumerate(ElementTree.fromstring(z.read(path)).iter(f"{MAIN}row"), 1):
                 cells: list[str | None] = []
                 for c in row.iter(f"{MAIN}c"):
@@ -60,7 +61,10 @@ def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
                         cells[k] = "TRUE" if value.text == "1" else "FALSE"
                     else:
                         cells[k] = _number(value.text) if kind == "n" else value.text
-                yield sheet.get("name"), int(row.get("r", at)), cells
+                found.append((int(row.get("r", at)), cells))
+            width = max((len(c) for _, c in found), default=0)
+            for number, cells in found:  # a sheet's rows are as wide as its widest
+                yield sheet.get("name"), number, cells + [None] * (width - len(cells))
 
 
 def _rows(batches):
