@@ -5,10 +5,12 @@
    doc_id stands for it from here on, so thousands of copies are one row.
 2. Band buckets: each representative is tried against the least of all its buckets. Tries pass
    a signature estimate first, then the exact test on full shingle sets of the texts.
-3. Components by alternating large-star and small-star. Then every bucket that still has
-   more than one component tries its pairs across components, those of its largest component
-   against the others only, each pair once: so no verified link between candidates is
-   lost, and a large group of near copies isn't expanded into its pairs.
+3. Components by alternating large-star and small-star. In every bucket that still has more
+   than one, all documents are compared with one reference, the least document of the bucket's largest
+   component. Two of them can only be linked (while one isn't linked to the reference) if they
+   share enough of their differences from it; an index over the rarest differences finds all such
+   pairs (see _sharing). So no link between candidates is lost, and a large group of near
+   copies isn't expanded into its pairs.
 4. Components again over all links.
 
 With 36 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 7e-10.
@@ -96,16 +98,66 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, p
     likely = store(sized.select("u", "v", "sig_u", "sig_v").mapInArrow(_likely(percent), "u bigint, v bigint"), "likely")
     if likely.isEmpty():
         return likely
-    asked = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = store(texts.join(asked, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"), "texts")
-    side = lambda k: found.select(F.col("doc_id").alias(f"id_{k}"), F.col("text").alias(f"text_{k}"))
-    with_texts = likely.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
-    out = store(with_texts.select("u", "v", "text_u", "text_v").mapInArrow(_exact(words, percent), "u bigint, v bigint"), "links")
-    forget(found)
+    out = store(_paired(likely, texts, ["u", "v"]).mapInArrow(_exact(words, percent), "u bigint, v bigint"), "links")
     forget(likely)
     return out
 
 
+def _paired(pairs: DataFrame, texts: DataFrame, carried: list[str]) -> DataFrame:
+    """pairs (u, v, ...) with the texts of both."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    found = store(texts.join(asked, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"), "texts")
+    side = lambda k: found.select(F.col("doc_id").alias(f"id_{k}"), F.col("text").alias(f"text_{k}"))
+    joined = pairs.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
+    return joined.select(*carried, "text_u", "text_v")
+
+
+def _differences(words: int, percent: int):
+    """(u, v, part_u, text_u, text_v) -> sizes of both sets, whether they are linked, and the elements in one of them only."""
+
+    def run(batches):
+        for batch in batches:
+            n_u, n_v, linked, diff = [], [], [], []
+            for a, b in zip(kernels.shingle_sets(batch.column(3), words), kernels.shingle_sets(batch.column(4), words)):
+                odd = np.setxor1d(a, b, assume_unique=True)
+                both = (len(a) + len(b) - len(odd)) // 2
+                n_u.append(len(a)), n_v.append(len(b)), diff.append(odd.view(np.int64))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+            cols = [*batch.columns[:3], pa.array(n_u, pa.int64()), pa.array(n_v, pa.int64()), pa.array(linked, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["u", "v", "part_u", "n_u", "n_v", "linked", "diff"])
+
+    return run
+
+
+def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be linked among documents compared with one reference v, given their differences from it.
+
+    Let D(x) be the symmetric difference of x and v, and t = (100 - percent) / (100 + percent). x and y are linked
+    iff |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= t (|x| + |y|). If x isn't linked to v, |D(x)| > t (|x| + |v|), so
+    the common part has to be more than (|D(y)| - t (|y| - |v|)) / 2, and at least (|D(x)| - t (|x| + |v|)) / 2. With the
+    elements in one order, rarest first, two such sets share one among their first |D| - needed + 1 elements.
+    So edits that no other document has rule a pair out, and no pair that is linked is lost.
+    """
+    t = (100 - percent) / (100 + percent)
+    size = F.size("diff")
+    as_member = F.floor((size - t * (F.col("n_u") - F.col("n_v"))) / 2 - 1e-9) + 1
+    as_probe = F.greatest(F.lit(1), F.ceil((size - t * (F.col("n_u") + F.col("n_v"))) / 2 - 1e-9))
+    each = gaps.withColumns({"member": size - as_member + 1, "probe": F.when(~F.col("linked") & (F.col("part_u") != F.col("v")), size - as_probe + 1).otherwise(0)})
+    flat = each.select("u", "v", "part_u", "member", "probe", F.explode("diff").alias("e"))
+    often = flat.groupBy(F.col("v").alias("v2"), F.col("e").alias("e2")).agg(F.count("*").alias("n")).filter("n > 1")
+    # elements that only one document has come first in its order and meet none: their number is enough
+    shared = flat.join(often, (F.col("v") == F.col("v2")) & (F.col("e") == F.col("e2")))
+    lists = shared.groupBy("u", "v", "part_u", "member", "probe").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"), F.count("*").alias("many"))
+    lists = lists.join(gaps.select(F.col("u").alias("gu"), F.col("v").alias("gv"), size.cast("long").alias("all")), (F.col("u") == F.col("gu")) & (F.col("v") == F.col("gv")))
+    alone = F.col("all") - F.col("many")
+    lists = store(lists.select("u", "v", "part_u", "es", (F.col("member") - alone).cast("int").alias("member"), (F.col("probe") - alone).cast("int").alias("probe")), "differences")
+    taken = lambda n: F.explode(F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col(n)))).alias("x")
+    probes = lists.filter("probe > 0").select("u", F.col("v").alias("ref"), "part_u", taken("probe")).select("u", "ref", "part_u", "x.e")
+    members = lists.filter("member > 0").select(F.col("u").alias("w"), F.col("v").alias("ref2"), F.col("part_u").alias("part_w"), taken("member")).select("w", "ref2", "part_w", F.col("x.e").alias("e2"))
+    met = probes.join(members, (F.col("ref") == F.col("ref2")) & (F.col("e") == F.col("e2")) & (F.col("part_u") != F.col("part_w")))
+    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -126,20 +178,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = _verified(tries, reps, texts, words, percent)
     parts = components(links)
     # round two: pairs across components in one bucket
-    tagged = reps.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "bands", F.coalesce("component", "doc_id").alias("part"))
-    entries = tagged.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), F.col("part").alias("part_u"))
+    tagged = reps.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part"))
+    entries = tagged.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u"), F.col("part").alias("part_u"))
     mixed = entries.groupBy("key").agg(F.min("part_u").alias("a"), F.max("part_u").alias("b")).filter("a < b").select(F.col("key").alias("k"))
-    rest = store(entries.join(mixed, F.col("key") == F.col("k")).select("key", "u", "n_u", "part_u"), "rest")
+    rest = store(entries.join(mixed, F.col("key") == F.col("k")).select("key", "u", "part_u"), "rest")
     sizes = rest.groupBy("key", "part_u").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part_u")).alias("top")).select(F.col("key").alias("k"), F.col("top.part_u").alias("main"))
-    rest = store(rest.join(main, F.col("key") == F.col("k")).select("key", "u", "n_u", "part_u", "main"), "rest")
-    few = rest.filter("part_u <> main")
-    many = rest.select(F.col("key").alias("k"), F.col("u").alias("v"), F.col("n_u").alias("n_v"), F.col("part_u").alias("part_v"), F.col("main").alias("main_v"))
-    sized = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
-    across = few.join(many, (F.col("key") == F.col("k")) & (F.col("part_u") != F.col("part_v")) & ((F.col("part_v") == F.col("main_v")) | (F.col("u") < F.col("v"))) & sized)
-    tries = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _verified(tries, reps, texts, words, percent)
-    parts = components(links.unionByName(more)) if not more.isEmpty() else parts
+    asked = store(rest.join(main, F.col("key") == F.col("k")).select("u", F.col("main").alias("v"), "part_u").distinct(), "asked")
+    more = links
+    if not asked.isEmpty():
+        gaps = store(_paired(asked.filter("u <> v"), texts, ["u", "v", "part_u"]).mapInArrow(_differences(words, percent), "u bigint, v bigint, part_u bigint, n_u bigint, n_v bigint, linked boolean, diff array<bigint>"), "gaps")
+        more = more.unionByName(gaps.filter("linked").select("u", "v"))
+        more = more.unionByName(_verified(_sharing(gaps, percent), reps, texts, words, percent))
+        parts = components(more)
     member = full.select("doc_id", F.col("s1").alias("m1"), F.col("s2").alias("m2")).join(
         classes.select("s1", "s2", "rep"), (F.col("m1") == F.col("s1")) & (F.col("m2") == F.col("s2"))
     ).select(F.col("doc_id").alias("id"), "rep")
