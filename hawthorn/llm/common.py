@@ -75,3 +75,8 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
 def let(value, body):
     """Binds an expression once: body gets a variable, so that it isn't evaluated for every use."""
     return F.transform(F.array(value), body)[0]
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the whole row as _doc: other columns can't clash with what is added."""
+    return df.select(*names, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))

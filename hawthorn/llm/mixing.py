@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, keyed_join, store
+from .common import forget, keyed_join, packed, store
 
 BLOCKS = 1024
 ENTROPY, REPEATS, BUDGET, SEED = 0.85, 4.0, 1.0, 11
@@ -129,8 +129,8 @@ def assigned(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs as mixed: each row as often as its source's weight asks; columns as they are."""
-    rows = assigned(docs, plan(docs.select("doc_id", "source", "text"), **how))
-    return rows.filter("copies > 0").withColumn("m_epoch", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    rows = assigned(packed(docs, "doc_id", "source"), plan(docs.select("doc_id", "source", "text"), **how))
+    return rows.filter("copies > 0").withColumn("m_epoch", F.explode(F.expr("sequence(1L, copies)"))).select("_doc.*")
 
 
 def op4_mixing(spark, sf_dir):

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, let, store
+from .common import keyed_join, let, packed, store
 
 SPACE = r"[\x20\x09-\x0D]+"
 DIMS = 4
@@ -209,7 +209,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones; columns as they are. Texts are read again rather than shuffled."""
     stats = store(statistics(docs.select("text", "lang", "source")).drop("text"), "statistics")
-    return Estimate(stats).distances(statistics(docs)).filter("kept").select(*docs.columns)
+    return Estimate(stats).distances(statistics(packed(docs, "text", "lang", "source"))).filter("kept").select("_doc.*")
 
 
 def op7_quality_rules(spark, sf_dir):
