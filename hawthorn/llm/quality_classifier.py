@@ -3,8 +3,9 @@
 A word's vector is the mean of the vectors of its features (the word and its 3- to 5-character
 n-grams with bounds, hashed into 2**17 buckets). Each pair of neighbouring words adds a word bigram, by its
 pattern: the same word twice, or two words. A document's vector is the mean over words and bigrams
-(as if it had a few neutral words more, so that short texts stay near the bias); two outputs and softmax. Since all that is linear up to the softmax, a trained model scores a word by one
-number (its features' mean of vector . (u1 - u0)), kept in a bounded cache by each worker.
+(as if it had a few neutral words more, so that short texts stay near the bias); two outputs and softmax.
+Since all that is linear up to the softmax, a trained model is one number for each bucket,
+vector . (u1 - u0); texts are scored by arrays over all their code points, without a Python step for each word.
 
 Training takes at most `per_class` documents of each label, the least by a hash of their id, from
 rows of labels with crc32(id) mod 4 other than 2; they alone reach the driver. Scoring is one pass over whole texts.
@@ -18,59 +19,88 @@ table: no rows; extra columns: ignored.
 
 from __future__ import annotations
 
-import operator
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
+
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 12, 8, 0.1, 5
 #: Bound on the labelled documents of each class that training takes.
 PER_CLASS = 1500
-#: Words whose score a worker keeps.
-CACHE = 200_000
+#: Characters of text that are scored at a time.
+CHARS = 500_000
 #: Buckets of the bigram patterns (beside the hashed ones), and neutral words in each text's mean.
 SAME, OTHER, NEUTRAL = BUCKETS, BUCKETS + 1, 6
 THRESHOLD = 0.7
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams."""
-    digest, mask = xxhash.xxh32_intdigest, BUCKETS - 1
-    out = [digest(word, 1) & mask]
-    bounded = f"<{word}>"
-    for n in (3, 4, 5):
-        out += [digest(bounded[i : i + n], 2) & mask for i in range(len(bounded) - n + 1)]
-    return out
-
-
-class _Words(dict):
-    """word -> value, made when it is first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        value = self[word] = self.make(word)
-        return value
-
-
-def _bag(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+_SIZES = (3, 4, 5)
+_rng = np.random.Generator(np.random.PCG64(99))
+_ODD = _rng.integers(1, 2**63, (len(_SIZES), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(47)).astype(np.int32)
+
+
+class Text:
+    """The words of several texts and the buckets of their features, as arrays over all code points at once."""
+
+    def __init__(self, texts: list[str]):
+        # white space stands for the bounds of words, so n-grams at a bound hold one space as 0
+        joined = " " + "\n".join(texts) + " "
+        x = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends_at = np.cumsum([len(t) + 1 for t in texts]) + 1
+        self.inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
+        starts = np.flatnonzero(self.inside[1:] & ~self.inside[:-1]) + 1
+        ends = np.flatnonzero(self.inside[:-1] & ~self.inside[1:]) + 1
+        self.x = np.where(self.inside, x, 0).astype(np.uint64)
+        self.word_of = np.zeros(len(x), np.int32)
+        self.word_of[starts] = 1
+        self.word_of = np.cumsum(self.word_of, dtype=np.int32) - 1
+        self.n_words = len(starts)
+        sizes = ends - starts
+        self.count = 1 + sum(np.maximum(0, sizes + 3 - n) for n in _SIZES)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(kernels.mix(self.x) * kernels.powers(kernels._BASE, len(x)), out=total[1:])
+        self.hashes = (total[ends] - total[starts]) * kernels.powers(kernels._INV, len(x))[starts]
+        self.first = np.searchsorted(starts, np.concatenate([[0], ends_at[:-1]]))
+        self.first = np.append(self.first, self.n_words)
+        self.repeated = np.append(False, self.hashes[1:] == self.hashes[:-1]) if self.n_words else np.zeros(0, bool)
+        self.repeated[self.first[:-1][self.first[:-1] < self.n_words]] = False
+
+    def grams(self):
+        """(buckets, word of each) for each size of n-gram; then the words themselves."""
+        for k, n in enumerate(_SIZES):
+            m = len(self.x) - n + 1
+            if m <= 0:
+                continue
+            whole = self.inside[1 : m + 1].copy()
+            for j in range(2, n - 1):
+                whole &= self.inside[j : m + j]
+            at = np.flatnonzero(whole)
+            h = self.x[at] * _ODD[k, 0]
+            for j in range(1, n):
+                h += self.x[at + j] * _ODD[k, j]
+            yield _buckets(h), self.word_of[at + 1]
+        yield _buckets(self.hashes), np.arange(self.n_words, dtype=np.int32)
+
+
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their weights; the weights of a text sum to less than 1."""
-    tokens = text.split()
-    if not tokens:
+    t = Text([text])
+    if not t.n_words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    parts = [words[w] for w in tokens]
-    same = sum(map(operator.eq, tokens, tokens[1:]))
-    n = 2 * len(tokens) - 1 + NEUTRAL
-    sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    ids = np.concatenate([*parts, [SAME, OTHER]])
-    weights = np.concatenate([np.repeat(1.0 / (sizes * n), sizes), [same / n, (len(tokens) - 1 - same) / n]])
-    found, inverse = np.unique(ids, return_inverse=True)
-    return found, np.bincount(inverse, weights).astype(np.float32)
+    n = 2 * t.n_words - 1 + NEUTRAL
+    same = int(t.repeated.sum())
+    ids, weights = [np.array([SAME, OTHER])], [np.array([same / n, (t.n_words - 1 - same) / n])]
+    for buckets, word in t.grams():
+        ids.append(buckets)
+        weights.append(1.0 / (t.count[word] * n))
+    found, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+    return found, np.bincount(inverse, np.concatenate(weights)).astype(np.float32)
 
 
 class Model:
@@ -80,17 +110,19 @@ class Model:
         self.bias, self.table = bias, table
         self.same, self.other = float(table[SAME]), float(table[OTHER])
 
-    def word(self, word: str) -> float:
-        return float(self.table[features(word)].mean())
-
-    def score(self, text: str, words: _Words) -> float:
-        tokens = text.split()
-        logit = self.bias
-        if tokens:
-            same = sum(map(operator.eq, tokens, tokens[1:]))
-            total = sum(map(words.__getitem__, tokens)) + same * self.same + (len(tokens) - 1 - same) * self.other
-            logit += total / (2 * len(tokens) - 1 + NEUTRAL)
-        return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        t = Text(texts)
+        words = np.zeros(t.n_words)
+        for buckets, word in t.grams():
+            words += np.bincount(word, self.table[buckets], minlength=t.n_words)
+        words /= t.count
+        words += np.where(t.repeated, self.same, self.other)
+        total = np.concatenate([[0.0], np.cumsum(words)])
+        n = np.diff(t.first)
+        some = n > 0
+        sums = total[t.first[1:]] - total[t.first[:-1]] - np.where(some, self.other, 0.0)  # the first word ends no bigram
+        logit = self.bias + np.where(some, sums / np.maximum(1, 2 * n - 1 + NEUTRAL), 0.0)
+        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -98,9 +130,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     n, ones = len(texts), sum(labels)
     if not 0 < ones < n:
         return Model(float(np.log((ones + 1) / (n - ones + 1))), np.zeros(BUCKETS + 2, np.float32))
-    words = _Words(lambda w: np.array(features(w)))
-    bags = [_bag(t, words) for t in texts]
-    del words
+    bags = [_bag(t) for t in texts]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 2, DIM)).astype(np.float32)
     outputs, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     past = np.zeros(BUCKETS + 2, np.float32)
@@ -147,14 +177,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted for each row of docs."""
 
     def run(batches):
-        words = _Words(model.word)
         for batch in batches:
-            scores = []
-            for text in batch.column(2):
-                scores.append(model.score(text.as_py() or "", words))
-                if len(words) > CACHE:
-                    words.clear()
-            x = np.array(scores)
+            texts, parts, held, size = batch.column(2).to_pylist(), [], [], 0
+            for i, text in enumerate(texts):
+                held.append(text or "")
+                size += len(held[-1])
+                if size > CHARS or i == len(texts) - 1:
+                    parts.append(model.scores(held))
+                    held, size = [], 0
+            x = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x), pa.array((x >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
