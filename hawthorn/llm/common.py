@@ -72,6 +72,11 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return left.join(right, cond, how).drop(*[f"_k_{k}" for k in on], "_salt")
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df (of a few numbers a row) with a broadcast hint if it has at most so many rows; beyond that as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value, body):
     """Binds an expression once: body gets a variable, so that it isn't evaluated for every use."""
     return F.transform(F.array(value), body)[0]

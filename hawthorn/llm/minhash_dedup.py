@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import forget, store
+from .common import bounded, forget, store
 from .components import components
 
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 36, 5
@@ -93,23 +93,29 @@ def _exact(words: int, percent: int):
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) that hold, stored: by signature first, then on full sets."""
     side = lambda k: sigs.select(F.col("doc_id").alias(f"id_{k}"), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}"))
-    with_sigs = pairs.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
+    pairs = store(pairs, "pairs")
+    with_u = store(side("u").join(bounded(pairs), F.col("u") == F.col("id_u")).select("u", "v", "sig_u", "n_u"), "pairs")
+    with_sigs = side("v").join(with_u, F.col("v") == F.col("id_v"))
     sized = with_sigs.filter(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
     likely = store(sized.select("u", "v", "sig_u", "sig_v").mapInArrow(_likely(percent), "u bigint, v bigint"), "likely")
+    forget(pairs)
+    forget(with_u)
     if likely.isEmpty():
         return likely
-    out = store(_paired(likely, texts, ["u", "v"]).mapInArrow(_exact(words, percent), "u bigint, v bigint"), "links")
+    joined, found = _paired(likely, texts, ["u", "v"])
+    out = store(joined.mapInArrow(_exact(words, percent), "u bigint, v bigint"), "links")
     forget(likely)
+    forget(found)
     return out
 
 
-def _paired(pairs: DataFrame, texts: DataFrame, carried: list[str]) -> DataFrame:
-    """pairs (u, v, ...) with the texts of both."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = store(texts.join(asked, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"), "texts")
+def _paired(pairs: DataFrame, texts: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """pairs (stored; u, v, ...) with the texts of both, and the table of texts that is read for it."""
+    asked = store(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    found = store(texts.join(bounded(asked), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"), "texts")
     side = lambda k: found.select(F.col("doc_id").alias(f"id_{k}"), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
-    return joined.select(*carried, "text_u", "text_v")
+    with_u = side("u").join(bounded(pairs), F.col("u") == F.col("id_u"))
+    return with_u.join(side("v"), F.col("v") == F.col("id_v")).select(*carried, "text_u", "text_v"), found
 
 
 def _differences(words: int, percent: int):
@@ -129,6 +135,11 @@ def _differences(words: int, percent: int):
     return run
 
 
+def _div(a: Column, b: int) -> Column:
+    """Floor division of whole numbers."""
+    return (a - F.pmod(a, F.lit(b))) / b
+
+
 def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
     """Pairs that may be linked among documents compared with one reference v, given their differences from it.
 
@@ -138,10 +149,10 @@ def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
     elements in one order, rarest first, two such sets share one among their first |D| - needed + 1 elements.
     So edits that no other document has rule a pair out, and no pair that is linked is lost.
     """
-    t = (100 - percent) / (100 + percent)
-    size = F.size("diff")
-    as_member = F.floor((size - t * (F.col("n_u") - F.col("n_v"))) / 2 - 1e-9) + 1
-    as_probe = F.greatest(F.lit(1), F.ceil((size - t * (F.col("n_u") + F.col("n_v"))) / 2 - 1e-9))
+    size, over, under = F.size("diff"), 100 + percent, 100 - percent
+    # in whole numbers: the least that is more than the first bound, and the least that isn't below the second
+    as_member = _div(size * over - (F.col("n_u") - F.col("n_v")) * under, 2 * over) + 1
+    as_probe = F.greatest(F.lit(1), -_div((F.col("n_u") + F.col("n_v")) * under - size * over, 2 * over))
     each = gaps.withColumns({"member": size - as_member + 1, "probe": F.when(~F.col("linked") & (F.col("part_u") != F.col("v")), size - as_probe + 1).otherwise(0)})
     flat = each.select("u", "v", "part_u", "member", "probe", F.explode("diff").alias("e"))
     often = flat.groupBy(F.col("v").alias("v2"), F.col("e").alias("e2")).agg(F.count("*").alias("n")).filter("n > 1")
@@ -187,7 +198,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     asked = store(rest.join(main, F.col("key") == F.col("k")).select("u", F.col("main").alias("v"), "part_u").distinct(), "asked")
     more = links
     if not asked.isEmpty():
-        gaps = store(_paired(asked.filter("u <> v"), texts, ["u", "v", "part_u"]).mapInArrow(_differences(words, percent), "u bigint, v bigint, part_u bigint, n_u bigint, n_v bigint, linked boolean, diff array<bigint>"), "gaps")
+        joined, found = _paired(asked.filter("u <> v"), texts, ["u", "v", "part_u"])
+        gaps = store(joined.mapInArrow(_differences(words, percent), "u bigint, v bigint, part_u bigint, n_u bigint, n_v bigint, linked boolean, diff array<bigint>"), "gaps")
+        forget(found)
         more = more.unionByName(gaps.filter("linked").select("u", "v"))
         more = more.unionByName(_verified(_sharing(gaps, percent), reps, texts, words, percent))
         parts = components(more)
