@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 from .common import forget, store
@@ -205,10 +206,20 @@ class SuffixFamily:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
+        """df is laid out by (g, c) already, by a grouping or a join of the buckets: no shuffle here."""
         name = f"hawthorn_suffixes_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, "g", "c").write.bucketBy(self.buckets, "g", "c").sortBy("g", "c").format("parquet").saveAsTable(name)
+        df.select("g", "c", "row", "span", "older").write.bucketBy(self.buckets, "g", "c").sortBy("g", "c").format("parquet").saveAsTable(name)
         return name
 
+    def _level(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("NOT older").select("g", "c", "row", "span")
+
+    def _merged(self, a: str, b: str) -> DataFrame:
+        """Two levels merge bucket by bucket; their keys are disjoint."""
+        left, right = (self._level(n).select(*[F.col(c).alias(f"{c}{k}") for c in ("g", "c", "row", "span")]) for k, n in enumerate((a, b)))
+        both = left.join(right, (F.col("g0") == F.col("g1")) & (F.col("c0") == F.col("c1")), "full_outer")
+        return both.select(*[F.coalesce(f"{c}0", f"{c}1").alias(c) for c in ("g", "c", "row", "span")], F.lit(False).alias("older"))
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
 
@@ -219,20 +230,19 @@ class SuffixFamily:
         array = entries.groupBy("g", "c").agg(F.min(F.struct("row", "span")).alias("first"))
         older = F.lit(False)
         for i, (_, name) in enumerate(self.levels):
-            level = self.spark.table(name).select("g", "c", F.lit(True).alias(f"in{i}"))
+            level = self._level(name).select("g", "c", F.lit(True).alias(f"in{i}"))
             array = array.join(level, ["g", "c"], "left")
             older = older | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        array = store(array.select("g", "c", "first", older.alias("older")), "array")
-        known = array.select(F.col("g").alias("g2"), F.col("c").alias("c2"), "first", "older")
-        again = entries.join(known, (F.col("g") == F.col("g2")) & (F.col("c") == F.col("c2"))).filter(F.col("older") | (F.struct("row", "span") != F.col("first")))
+        own = self._write(array.select("g", "c", F.col("first.row").alias("row"), F.col("first.span").alias("span"), older.alias("older")))
+        known = self.spark.table(own).select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("row").alias("r2"), F.col("span").alias("s2"), "older")
+        again = entries.join(known, (F.col("g") == F.col("g2")) & (F.col("c") == F.col("c2"))).filter(F.col("older") | (F.col("row") != F.col("r2")) | (F.col("span") != F.col("s2")))
         repeats = store(again.select("row", "span").unionByName(runs.filter("c IS NULL").select("row", "span")), "repeats")
-        self.levels.append((0, self._write(array.filter(~F.col("older")).select("g", "c", F.col("first.row").alias("row"), F.col("first.span").alias("span")))))
+        self.levels.append((0, own))
         forget(runs)
-        forget(array)
         _release(self.spark)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
+            self.levels.append((rank + 1, self._write(self._merged(b, a))))
             self._drop(a)
             self._drop(b)
             _release(self.spark)
@@ -241,7 +251,7 @@ class SuffixFamily:
     def entries(self) -> DataFrame:
         out = None
         for _, name in self.levels:
-            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
+            out = self._level(name) if out is None else out.unionByName(self._level(name))
         return out
 
     def contested(self) -> DataFrame:
@@ -330,10 +340,11 @@ def _joined(docs: DataFrame, **how) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """docs with text without its repeated bytes; a character that was cut goes as a whole. Adds n_removed."""
     keep = lambda data, a, b: {"text": kept_bytes(data, a, b).decode("utf-8", "ignore"), "n_removed": int((b - a).sum())}
-    plain = [f for f in docs.schema if f.name not in ("text", "row", "spans", "n_removed")]
-    joined = _joined(docs, length=length, **how).select(*[f.name for f in plain], "text", "spans")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + ["text string", "n_removed bigint"])
-    return joined.mapInArrow(_apply(length, keep), schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_removed")]).alias("_doc")
+    joined = _joined(docs.select("doc_id", "text", whole), length=length, **how).select("_doc", "text", "spans")
+    kind = joined.schema["_doc"].dataType
+    cut = joined.mapInArrow(_apply(length, keep), T.StructType([T.StructField("_doc", kind), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
