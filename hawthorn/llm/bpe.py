@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a block, about; a longer text is a block by itself.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
