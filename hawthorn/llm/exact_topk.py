@@ -9,8 +9,9 @@ query q the product is at most
 
     q1.c1 + |q2| |c2|        (1: leading rotated coordinates, 2: the rest)
 
-and at most |q| |c|. A query whose k-th best is above |q| |c| for the longest c left is finished in
-this partition; a candidate whose bound is below the k-th best is not multiplied out. What is
+and at most |q| |c|. A query whose k-th best is above |q| |c| for the longest c of a block of candidates
+passes over that block, whatever comes after it (a task reads several files, in no order of length);
+a candidate whose bound is below the k-th best is not multiplied out. What is
 left gets the exact whole-number product, so rounding in the rotation can't change results
 (bounds carry a margin). Queries come in blocks of bounded size, each broadcast (block_rows
 vectors at most) against all candidates; the partitions' lists, k rows for a query each, merge
@@ -76,7 +77,7 @@ def rotation(vectors: DataFrame, dims: int) -> np.ndarray:
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead: int, block: int = 512):
-    """Candidates (vec_id, v), longest first -> (query, vec_id, score): k best of the partition for each query."""
+    """Candidates (vec_id, v), in any order, fastest longest first -> (query, vec_id, score): k best of the partition for each query."""
     dims = queries.shape[1]
 
     def run(batches):
@@ -86,16 +87,16 @@ def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead:
         n = len(queries)
         best = np.full((n, k), -np.inf)
         owner = np.full((n, k), np.iinfo(np.int64).max)
-        live = np.arange(n)
         for batch in batches:
             cand, vectors = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), _matrix(batch.column(1), dims)
             for at in range(0, len(cand), block):
                 c, cid = vectors[at : at + block], cand[at : at + block]
                 c_norm = np.linalg.norm(c, axis=1)
                 margin = 1e-6 * (1 + q_norm.max(initial=0) * c_norm.max())
-                live = live[q_norm[live] * c_norm.max() + margin >= best[live, k - 1]]
+                # for this block alone: a task may read several sorted files, in any order
+                live = np.flatnonzero(q_norm * c_norm.max() + margin >= best[:, k - 1])
                 if not len(live):
-                    break
+                    continue
                 turned = c @ turn
                 bound = q1[live] @ turned[:, :lead].T + np.outer(q2[live], np.linalg.norm(turned[:, lead:], axis=1)) + margin
                 hit = bound >= best[live, k - 1][:, None]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,23 @@ def test_top_k(spark):
     assert got == want and exact_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_scan_of_sorted_runs_in_any_order():
+    """Two runs, each longest first, the shorter vectors' run before the longer ones'."""
+    rng = np.random.default_rng(12)
+    v = np.floor(np.concatenate([300 - np.arange(1200) / 10, 600 - np.arange(1200) / 10]))[:, None] * np.array([[1, 1, 0, 0]]) + rng.integers(0, 3, (2400, 4))
+    ids = np.arange(2400)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(list(v[part]), pa.list_(pa.float64()))], ["vec_id", "v"]) for part in (slice(0, 1200), slice(1200, 2400))]
+    asked = ids[::100]
+    (out,) = exact_topk._scan(asked, v[asked], np.eye(4), 20, 2)(batches)
+    got = {}
+    for row in out.to_pylist():
+        got.setdefault(row["query_id"], set()).add((row["vec_id"], row["score"]))
+    for q in asked:
+        score = v @ v[q]
+        order = [c for c in np.lexsort((ids, -score)) if c != q][:20]
+        assert got[q] == {(int(c), int(score[c])) for c in order}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/7x?q", "https://example.net/de/8", "ftp://x.net/de/", "http://b.org/es/#f", "nothing", None, "http://com/en/", "://h?x/en/", "http://excom/en/1"]
     df = spark.createDataFrame([(i, u, '<a href="//b.org/x">' if i == 2 else None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("host", F.lit(1))
