@@ -4,7 +4,12 @@ A rule (host, path) fits its host and all subdomains of it where the url's path
 with the rule's path; the longest rule wins. What no rule decides, the link graph does:
 personalised PageRank from trusted seeds (hosts with allowed pages) along the links, and the
 same from blocked seeds (hosts with blocked pages) against the links. A host is blocked
-if its distrust exceeds its trust and is over `factor` times its fair share by pages.
+if its distrust exceeds its trust and is over `factor` times its fair share by pages. As
+all distrust sums to one, that share is out of reach of hosts without inflow once much of the corpus is blocked
+by rules (7.5 % at the defaults). With `percent` both masses are counted in seed pages instead: a host is blocked
+if its distrust, times all blocked pages, exceeds its trust, times all allowed pages, and what a host without
+inflow gets that has so many percent of its pages blocked; that doesn't depend on the share of blocked pages.
+The query, like its SQL, uses `factor`.
 
 Mass is kept in whole units of 2**-40 and divided exactly in decimals, so that
 results don't depend on the order of summing, on retried tasks or on the engine.
@@ -72,7 +77,7 @@ def spread(links: DataFrame, seeds: DataFrame, hosts: DataFrame, rounds: int, da
     return mass
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: int = 85, factor: int = 2) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: int = 85, factor: int = 2, percent: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
@@ -92,10 +97,13 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: int = 85, fac
 
     trust = spread(links, seeds("good", good), hosts, rounds, damping).withColumnRenamed("mass", "trust")
     distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("bad", bad), hosts, rounds, damping).withColumnRenamed("mass", "distrust")
-    verdicts = own.join(trust, "host").join(distrust, "host").select(
-        "host", "trust", "distrust",
-        ((F.col("distrust") > F.col("trust")) & F.expr(f"cast(distrust as decimal(38,0)) * {max(1, n)} > cast(pages as decimal(38,0)) * {factor * UNIT}")).alias("over"),
-    )
+    if percent is None:
+        over = (F.col("distrust") > F.col("trust")) & F.expr(f"cast(distrust as decimal(38,0)) * {max(1, n)} > cast(pages as decimal(38,0)) * {factor * UNIT}")
+    else:
+        over = F.expr(f"cast(distrust as decimal(19,0)) * {bad} > cast(trust as decimal(19,0)) * {good}") & F.expr(
+            f"cast(distrust as decimal(19,0)) * {bad} > (cast(pages as decimal(19,0)) * {(100 - damping) * percent * UNIT}) div 10000"
+        )
+    verdicts = own.join(trust, "host").join(distrust, "host").select("host", "trust", "distrust", over.alias("over"))
     verdicts = store(verdicts, "verdicts")
     judged = keyed_join(split.drop("html", "url"), verdicts, ["host"])
     return judged.select(

@@ -273,6 +273,19 @@ def test_distrust_reaches_what_links_to_blocked_hosts(spark):
     assert got == {"bad.org": "block", "farm.io": "block", "fine.io": "allow"}
 
 
+def test_distrust_where_many_pages_are_blocked_by_rules(spark):
+    """A quarter of all pages is blocked by rules: hosts are held against their own blocked pages."""
+    page = lambda i, url, html=None: (i, f"http://{url}/{i}", html)
+    rows = [page(i, "mostly.org/es") for i in range(6)] + [page(10 + i, "mostly.org") for i in range(2)]
+    rows += [page(20 + i, "hardly.org/es") for i in range(1)] + [page(30 + i, "hardly.org") for i in range(9)]
+    rows += [page(40 + i, f"h{i}.org/es") for i in range(20)]
+    rows += [page(70, "farm.io", '<a href="http://mostly.org/es/">'), page(71, "good.net/de"), page(72, "good.net")] + [page(80 + i, "fine.io") for i in range(70)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by_links = lambda **k: {r.host for r in url_filters.judge(df, **k).filter("rule IS NULL AND verdict = 'block'").collect()}
+    assert by_links(percent=50) == {"mostly.org", "farm.io"} and by_links(percent=5) == {"mostly.org", "farm.io", "hardly.org"}
+    assert "mostly.org" not in by_links()
+
+
 def test_classifier(spark, nothing):
     rng = np.random.default_rng(6)
     text = lambda good: " ".join(w if good else w + "%%" for w in sentence(rng, 40).split())
