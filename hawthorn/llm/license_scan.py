@@ -5,7 +5,8 @@ are looked for in windows of 2s shingles that start at each multiple of s, s bei
 with s >= T: so a template at any place lies whole in some window. A window with at least
 80 % of a template's shingles has similarity over 0.19 to it; each of 96 bands holds one
 minimum, so the two share a band with probability over 1 - 2e-9. Windows that share a band are
-verified on the shingles themselves: 100 * matched >= 80 * T.
+verified on the shingles themselves: 100 * matched >= 80 * T. A template of fewer than five words is one
+shingle of all its words, found by comparing words; one without any word is an error.
 
 Minima are taken after xor with a constant for each band. A window can only share a band with a
 template if it holds the shingle that is the template's minimum there, so windows without any such
@@ -14,7 +15,8 @@ shingle are passed over at no loss; all others get all their minima.
 All of it is arrays within a row: no shuffle, whatever the skew. Cases: null, empty or short text: no match;
 repeated rows: each scanned; ties between windows: the first; several licences in a text: a row each; null doc_id:
 kept; very long texts: whole; empty table: no rows; extra columns: ignored. Templates are a parameter
-of bounded size.
+of bounded size. The query's list, like its SQL, has no template under five words: the notices in NOTICES
+are found only by callers who add them.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
     "You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: Notices of fewer words than a shingle, by identifier; not in the query.
+NOTICES = {"All-rights-reserved": "All rights reserved."}
 
 
 def words(text: Column) -> Column:
@@ -74,6 +78,10 @@ class Templates:
 
     def __init__(self, spark, templates: dict[str, str] = TEMPLATES, bands: int = BANDS):
         rows = spark.createDataFrame(list(templates.items()), "id string, text string").select("id", words(F.col("text")).alias("w"))
+        found = {row.id: row.w for row in rows.collect()}
+        if empty := sorted(i for i, w in found.items() if not w):
+            raise ValueError(f"templates without words can't be matched: {', '.join(empty)}")
+        self.short = [{"id": i, "words": " ".join(w)} for i, w in sorted(found.items()) if len(w) < K]
         rows = rows.filter(F.size("w") >= K).select("id", shingle_hashes(F.col("w")).alias("h"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), lambda i: F.array_join(F.slice("w", i, K), " "))).alias("s"))
         self.constants = _constants(bands)
         self.items = []
@@ -111,21 +119,40 @@ def _windows(step: int, templates: Templates, percent: int) -> Column:
     return F.filter(F.flatten(F.transform(starts, window)), lambda m: m.isNotNull() & (m["matched"] * 100 >= m["n"] * percent))
 
 
+def _notices(w: Column, short: list[dict]) -> Column:
+    """Templates under K words: array of (license, n_shingles, n_matched, start), start being the first window of two shingles."""
+
+    def note(text, t):
+        at = F.locate(f" {t['words']} ", text)
+        before = text.substr(F.lit(1), at - 1)
+        place = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        one = F.lit(1).cast("long")
+        return F.when(at > 0, F.struct(F.lit(t["id"]).alias("license"), one.alias("n_shingles"), one.alias("n_matched"), F.greatest(place - 1, F.lit(0)).cast("long").alias("start")))
+
+    text = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return let(text, lambda x: F.filter(F.array(*[note(x, t) for t in short]), lambda m: m.isNotNull()))
+
+
 def scan(docs: DataFrame, templates: Templates, percent: int = PERCENT) -> DataFrame:
     """doc_id, license, n_shingles, n_matched, start for each licence found in each row of docs (doc_id, text)."""
     known = [F.lit(x) for x in sorted({x for t in templates.items for x in t["least"]})]
     # each array is bound once, and rows without hits go by an explode: a filter would be pushed below and evaluate them again
     at = lambda h: F.filter(F.transform(h, lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull())
-    facts = let(words(F.col("text")), lambda w: let(shingle_hashes(w), lambda h: F.struct(w.alias("w"), h.alias("h"), at(h).alias("hits"))))
-    hits = docs.select("doc_id", F.explode(F.filter(F.array(facts), lambda f: F.size(f["hits"]) > 0)).alias("f")).select("doc_id", "f.w", "f.h", "f.hits")
-    found = hits.select("doc_id", F.flatten(F.array(*[_windows(s, templates, percent) for s in templates.steps])).alias("found"))
+    notes = lambda w: [_notices(w, templates.short).alias("notes")] if templates.short else []
+    facts = let(words(F.col("text")), lambda w: let(shingle_hashes(w), lambda h: F.struct(w.alias("w"), h.alias("h"), at(h).alias("hits"), *notes(w))))
+    use = lambda f: (F.size(f["hits"]) > 0) | (F.size(f["notes"]) > 0) if templates.short else F.size(f["hits"]) > 0
+    hits = docs.select("doc_id", F.explode(F.filter(F.array(facts), use)).alias("f")).select("doc_id", "f.*")
+    long = [F.flatten(F.array(*[_windows(s, templates, percent) for s in templates.steps])).alias("found")] if templates.items else []
+    found = hits.select("doc_id", *long, *(["notes"] if templates.short else []))
 
     def best(t):
         same = F.filter("found", lambda m: m["id"] == t["id"])
         top = F.array_max(F.transform(same, lambda m: F.struct(m["matched"].alias("matched"), (-m["start"]).alias("back"))))
         return let(top, lambda x: F.when(x.isNotNull(), F.struct(F.lit(t["id"]).alias("license"), F.lit(t["n"]).cast("long").alias("n_shingles"), x["matched"].alias("n_matched"), (-x["back"]).alias("start"))))
 
-    rows = found.select("doc_id", F.explode(F.filter(F.array(*[best(t) for t in templates.items]), lambda m: m.isNotNull())).alias("m"))
+    parts = [F.filter(F.array(*[best(t) for t in templates.items]), lambda m: m.isNotNull())] if templates.items else []
+    parts += [F.col("notes")] if templates.short else []
+    rows = found.select("doc_id", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("m"))
     return rows.select("doc_id", "m.license", "m.n_shingles", "m.n_matched", "m.start")
 
 

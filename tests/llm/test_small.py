@@ -311,3 +311,14 @@ def test_licenses(spark, docs, texts, nothing):
     rows = [(k, sentence(rng, k * 7) + " " + " ".join(notice[: len(notice) - cut]) + " " + sentence(rng, 9)) for k, cut in enumerate((0, 2, 5, 20))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.license) for r in license_scan.scan(df, t).collect()) == [(0, "GPL-3.0"), (1, "GPL-3.0"), (2, "GPL-3.0")]
+
+
+def test_short_notices(spark):
+    texts = ["All rights reserved.", "x y Z: all RIGHTS\nreserved, then some. All rights reserved", "small rights reserved", "All rights", None, "Released under the MIT License. All rights reserved."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda t: sorted(tuple(r) for r in license_scan.scan(df, license_scan.Templates(spark, t)).collect())
+    notices = [(0, "All-rights-reserved", 1, 1, 0), (1, "All-rights-reserved", 1, 1, 2), (5, "All-rights-reserved", 1, 1, 4)]
+    assert found(license_scan.NOTICES) == notices
+    assert found(license_scan.TEMPLATES | license_scan.NOTICES) == sorted([*notices, (5, "MIT-line", 1, 1, 0)])
+    with pytest.raises(ValueError, match="blank"):
+        license_scan.Templates(spark, {"blank": " .. "})
