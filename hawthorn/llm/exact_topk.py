@@ -21,7 +21,8 @@ Cases: vectors null, empty or with null or non-finite components: take no part;
 unequal lengths: the shorter is padded with zeros; ties: smaller vec_id; repeated vec_ids: each
 row is a candidate, none is one for a query of its vec_id, and a query row that repeats is
 answered once; fewer than k candidates: all; empty table: no rows; extra columns: ignored; products
-beyond 53 bits: an error.
+that may pass 53 bits: multiplied in whole numbers; a result that isn't a 64-bit number: an error, since
+the score can't be given (such products rank rightly, so only k best that hold one fail).
 """
 
 from __future__ import annotations
@@ -34,19 +35,23 @@ from pyspark.sql import functions as F
 from .common import forget, store
 
 SCALE, K, LEAD, BLOCK_ROWS = 64, 20, 16, 16384
+#: A place not taken, and scores below and above what a long can hold.
+NONE, LOW, HIGH = -(2**63), -(2**63) + 1, 2**63 - 1
 
 
 def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array<bigint>), norm2 for the rows that take part."""
+    """vec_id, v (array<double> of whole numbers), norm2 for the rows that take part."""
     x = F.col("embedding")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
+    # doubles from 2**53 on are whole, and may be too large for floor's bigint
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    v = F.transform(x, lambda c: whole(c.cast("double") * scale))
     rows = table.filter(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows padded with zeros, as float64 (exact below 2**53)."""
+    """Rows padded with zeros, as float64."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
@@ -73,7 +78,28 @@ def rotation(vectors: DataFrame, dims: int) -> np.ndarray:
     gram = np.zeros((dims, dims))
     for i, j, x in rows:
         gram[i, j] = x
-    return np.linalg.eigh(gram)[1][:, ::-1]
+    # any rotation gives right bounds
+    return np.linalg.eigh(gram)[1][:, ::-1] if np.isfinite(gram).all() else np.eye(dims)
+
+
+def _products(q: np.ndarray, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact products (int64) of the wanted pairs of rows, clipped to LOW and HIGH; NONE for the others."""
+    q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    if q_norm.max() * c_norm.max() < 2.0**52:
+        return np.where(wanted, q @ c.T, NONE).astype(np.int64)
+    size = np.where((q_norm[:, None] == 0) | (c_norm == 0), 0, q_norm[:, None] * c_norm)
+    out = np.full(size.shape, NONE, np.int64)
+    small, huge = wanted & (size < 2.0**52), wanted & ~(size < 2.0**62)
+    out[small] = (q @ c.T)[small].astype(np.int64)
+    rows, cols = (np.flatnonzero((wanted & ~small & ~huge).any(axis=a)) for a in (1, 0))
+    if len(rows):
+        # sums may wrap, but what they come to is below 2**62
+        middle = (wanted & ~small & ~huge)[np.ix_(rows, cols)]
+        whole = np.where(np.abs(q[rows]) < 2.0**63, q[rows], 0).astype(np.int64) @ np.where(np.abs(c[cols]) < 2.0**63, c[cols], 0).astype(np.int64).T
+        out[np.ix_(rows, cols)] = np.where(middle, whole, out[np.ix_(rows, cols)])
+    for i, j in np.argwhere(huge):
+        out[i, j] = min(max(sum(int(a) * int(b) for a, b in zip(q[i], c[j])), LOW), HIGH)
+    return out
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead: int, block: int = 512):
@@ -85,7 +111,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead:
         q1, q2 = q_turned[:, :lead], np.linalg.norm(q_turned[:, lead:], axis=1)
         q_norm = np.linalg.norm(queries, axis=1)
         n = len(queries)
-        best = np.full((n, k), -np.inf)
+        best = np.full((n, k), NONE, np.int64)
         owner = np.full((n, k), np.iinfo(np.int64).max)
         for batch in batches:
             cand, vectors = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), _matrix(batch.column(1), dims)
@@ -94,29 +120,26 @@ def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead:
                 c_norm = np.linalg.norm(c, axis=1)
                 margin = 1e-6 * (1 + q_norm.max(initial=0) * c_norm.max())
                 # for this block alone: a task may read several sorted files, in any order
-                live = np.flatnonzero(q_norm * c_norm.max() + margin >= best[:, k - 1])
+                kth = best[:, k - 1].astype(np.float64)
+                live = np.flatnonzero(~(q_norm * c_norm.max() + margin < kth))
                 if not len(live):
                     continue
                 turned = c @ turn
                 bound = q1[live] @ turned[:, :lead].T + np.outer(q2[live], np.linalg.norm(turned[:, lead:], axis=1)) + margin
-                hit = bound >= best[live, k - 1][:, None]
+                hit = ~(bound < kth[live][:, None])
                 rows = np.flatnonzero(hit.any(axis=1))
                 if not len(rows):
                     continue
                 use = np.flatnonzero(hit.any(axis=0))
                 mine = live[rows]
-                score = queries[mine] @ c[use].T
-                if (q_norm.max() * c_norm.max()) >= 2.0**53:
-                    raise OverflowError("inner products beyond 53 bits")
-                score[~hit[np.ix_(rows, use)]] = -np.inf
-                score[ids[mine][:, None] == cid[use][None, :]] = -np.inf
-                scores = np.concatenate([best[mine], score], axis=1)
-                owners = np.concatenate([owner[mine], np.broadcast_to(cid[use], score.shape)], axis=1)
-                order = np.lexsort((owners, -scores), axis=1)[:, :k]
+                wanted = hit[np.ix_(rows, use)] & (ids[mine][:, None] != cid[use][None, :])
+                scores = np.concatenate([best[mine], _products(queries[mine], c[use], wanted)], axis=1)
+                owners = np.concatenate([owner[mine], np.broadcast_to(cid[use], wanted.shape)], axis=1)
+                order = np.lexsort((owners, ~scores), axis=1)[:, :k]
                 best[mine] = np.take_along_axis(scores, order, 1)
                 owner[mine] = np.take_along_axis(owners, order, 1)
-        q, at = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int64)), pa.array(owner[q, at]), pa.array(best[q, at].astype(np.int64))], ["query_id", "place", "vec_id", "score"])
+        q, at = np.nonzero(best > NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int64)), pa.array(owner[q, at]), pa.array(best[q, at])], ["query_id", "place", "vec_id", "score"])
 
     return run
 
@@ -147,7 +170,8 @@ def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lea
         return spark.createDataFrame([], schema)
     forget(asked)
     window = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    score = F.when(F.col("score").isin(LOW, HIGH), F.raise_error("a score is beyond 64 bits").cast("long")).otherwise(F.col("score"))
+    return out.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op2_exact_topk(spark, sf_dir):

@@ -255,6 +255,28 @@ def test_scan_of_sorted_runs_in_any_order():
         assert got[q] == {(int(c), int(score[c])) for c in order}
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [(60, [3e7 + 1, 1.0, 2e7, 5e6 + 3]), (61, [3e7, 2.0, 2e7 + 1, 5e6]), (62, [2e7, -1e7, 1.0, 0.0]), (63, [-1e30, 0.0, 0.0, 0.0]), (64, [-1e200, 0.0, 0.0, 0.0]), (65, [3e6, 1.0, 4e6, 2.0]), (80, [1e6, 5e5, 1.0, 2.0])]
+    rows += [(100, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    large = failed = 0
+    for q in range(0, 101, 20):
+        others = {c: v for c, v in whole.items() if c == q or c % 20}
+        want = sorted((-sum(x * y for x, y in zip(others[q], v)), c) for c, v in others.items() if c != q)[:10]
+        got = exact_topk.top_k(df.filter((F.col("vec_id") == q) | (F.col("vec_id") % 20 != 0)), k=10).orderBy("rank")
+        if any(abs(s) >= 2**63 for s, _ in want):
+            failed += 1
+            with pytest.raises(Exception, match="beyond 64 bits"):
+                got.collect()
+        else:
+            large += any(abs(s) >= 2**53 for s, _ in want)
+            assert [(r.vec_id, r.score) for r in got.collect()] == [(c, -s) for s, c in want]
+    assert large and failed
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/7x?q", "https://example.net/de/8", "ftp://x.net/de/", "http://b.org/es/#f", "nothing", None, "http://com/en/", "://h?x/en/", "http://excom/en/1"]
     df = spark.createDataFrame([(i, u, '<a href="//b.org/x">' if i == 2 else None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("host", F.lit(1))
