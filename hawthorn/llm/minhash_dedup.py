@@ -172,21 +172,33 @@ def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    owner = None
+    if not texts.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # a doc_id may have several texts: rows are compared by their place in the order of doc_id, and those of a doc_id linked
+        placed = store(texts.orderBy("doc_id", "text").withColumn("place", F.monotonically_increasing_id()), "placed")
+        owner = placed.select("place", F.col("doc_id").alias("owner"))
+        texts = placed.select(F.when(F.col("doc_id").isNotNull(), F.col("place")).alias("doc_id"), "text")
     run, schema = _signatures(words, bands, rows)
     sigs = store(texts.mapInArrow(run, schema), "signatures")
     full = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = store(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    # a repeated doc_id may belong to several classes: its classes are linked
     reps = store(
         full.join(classes.select(F.col("rep"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-        .select("doc_id", "n_shingles", "sig", "bands").dropDuplicates(["doc_id"]),
+        .select("doc_id", "n_shingles", "sig", "bands"),
         "reps",
     )
+    member = full.select("doc_id", F.col("s1").alias("m1"), F.col("s2").alias("m2"), F.col("n_shingles").alias("m3")).join(
+        classes, (F.col("m1") == F.col("s1")) & (F.col("m2") == F.col("s2")) & (F.col("m3") == F.col("n_shingles"))
+    ).select(F.col("doc_id").alias("id"), "rep")
     # round one: the least of all buckets
     entries = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u"))
     buckets = entries.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), "v")
     tries = entries.join(buckets, F.col("key") == F.col("k")).filter("u <> v").groupBy("u").agg(F.min("v").alias("v"))
     links = _verified(tries, reps, texts, words, percent)
+    if owner is not None:
+        owned = store(member.join(owner, F.col("id") == F.col("place")).select("owner", F.col("rep").alias("u")), "owned")
+        least = owned.groupBy("owner").agg(F.min("u").alias("v")).withColumnRenamed("owner", "o")
+        links = links.unionByName(owned.join(least, F.col("owner") == F.col("o")).filter("u <> v").select("u", "v").distinct())
     parts = components(links)
     # round two: pairs across components in one bucket
     tagged = reps.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part"))
@@ -204,10 +216,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         more = more.unionByName(gaps.filter("linked").select("u", "v"))
         more = more.unionByName(_verified(_sharing(gaps, percent), reps, texts, words, percent))
         parts = components(more)
-    member = full.select("doc_id", F.col("s1").alias("m1"), F.col("s2").alias("m2")).join(
-        classes.select("s1", "s2", "rep"), (F.col("m1") == F.col("s1")) & (F.col("m2") == F.col("s2"))
-    ).select(F.col("doc_id").alias("id"), "rep")
-    label = member.join(parts, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
+    label = member.join(parts, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("label"))
+    if owner is not None:
+        # back from places to doc_ids, and one label for all rows of a doc_id
+        first = owner.select(F.col("place").alias("p"), F.col("owner").alias("first"))
+        named = label.join(owner, F.col("id") == F.col("place")).join(first, F.col("label") == F.col("p"))
+        label = named.groupBy(F.col("owner").alias("id")).agg(F.min("first").alias("label"))
+        sigs = sigs.join(owner, F.col("doc_id") == F.col("place"), "left").select(F.col("owner").alias("doc_id"), "n_shingles")
     out = sigs.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

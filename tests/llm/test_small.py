@@ -98,6 +98,18 @@ def test_repeated_rows_and_null_ids(spark):
     assert suffix_dedup.digests(df).count() == 5 and bpe.digests(bpe.encode_documents(df)).count() == 5
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    """doc_id 1 is the least of four classes; each has a near copy, and one near copy shares its id with another text."""
+    rng = np.random.default_rng(15)
+    bases = [sentence(rng, 60) for _ in range(6)]
+    rows = [(1, t) for t in bases[:4]] + [(10 + i, t + " tail") for i, t in enumerate(bases)] + [(13, bases[4]), (20, bases[5] + " end"), (1, ""), (None, bases[0]), (30, sentence(rng, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: 1 for i in (1, 10, 11, 12, 13, 14)} | {15: 15, 20: 15, 30: 30, None: None}
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()]
+    assert len(got) == len(rows) and {(i, c) for i, c, _ in got} == set(want.items())
+    assert all(kept == (i == c) for i, c, kept in got)
+
+
 def brute_repeats(texts, length=100):
     seen, out = set(), []
     for t in texts:
