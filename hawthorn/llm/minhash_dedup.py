@@ -8,8 +8,8 @@
 3. Components by alternating large-star and small-star. In every bucket that still has more
    than one, all documents are compared with one reference, the least document of the bucket's largest
    component. Two of them can only be linked (while one isn't linked to the reference) if they
-   share enough of their differences from it; an index over the rarest differences finds all such
-   pairs (see _sharing). So no link between candidates is lost, and a large group of near
+   share enough of their differences from it; an index over the rarest differences, by classes of how far
+   documents are from the reference, finds all such pairs (see _sharing). So no link between candidates is lost, and a large group of near
    copies isn't expanded into its pairs.
 4. Components again over all links.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, forget, store
+from .common import bounded, forget, packed, store
 from .components import components
 
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 36, 5
@@ -135,37 +135,53 @@ def _differences(words: int, percent: int):
     return run
 
 
-def _div(a: Column, b: int) -> Column:
-    """Floor division of whole numbers."""
-    return (a - F.pmod(a, F.lit(b))) / b
+def _div(a: Column, b) -> Column:
+    """Floor division of whole numbers by positive ones."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return ((a - F.pmod(a, b)) / b).cast("long")
 
 
 def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
     """Pairs that may be linked among documents compared with one reference v, given their differences from it.
 
-    Let D(x) be the symmetric difference of x and v, and t = (100 - percent) / (100 + percent). x and y are linked
-    iff |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= t (|x| + |y|). If x isn't linked to v, |D(x)| > t (|x| + |v|), so
-    the common part has to be more than (|D(y)| - t (|y| - |v|)) / 2, and at least (|D(x)| - t (|x| + |v|)) / 2. With the
-    elements in one order, rarest first, two such sets share one among their first |D| - needed + 1 elements.
-    So edits that no other document has rule a pair out, and no pair that is linked is lost.
+    Let D(x) be the symmetric difference of x and v, t = (100 - percent) / (100 + percent) and g(x) = |D(x)| - t |x|.
+    x and y are linked iff |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= t (|x| + |y|), so iff they share at least
+    o = (g(x) + g(y)) / 2 of their differences. That is over 0 where x isn't linked to v. With the elements in one
+    order, rarest first, the first that both have stands among the first |D| - o + 1 of each, and leaves either side enough
+    to make up o. Documents are put into classes of g as wide as t |v|, and each gives its first elements once for
+    each class that a partner may be in, as many as the least g there asks for. So the lists are about as short as if each pair
+    had its own: edits that no document of another component has count first and meet none, and what many have
+    (the reference's own words, or a passage that all share) comes last and is seldom reached. No pair that is linked is lost.
     """
-    size, over, under = F.size("diff"), 100 + percent, 100 - percent
-    # in whole numbers: the least that is more than the first bound, and the least that isn't below the second
-    as_member = _div(size * over - (F.col("n_u") - F.col("n_v")) * under, 2 * over) + 1
-    as_probe = F.greatest(F.lit(1), -_div((F.col("n_u") + F.col("n_v")) * under - size * over, 2 * over))
-    each = gaps.withColumns({"member": size - as_member + 1, "probe": F.when(~F.col("linked") & (F.col("part_u") != F.col("v")), size - as_probe + 1).otherwise(0)})
-    flat = each.select("u", "v", "part_u", "member", "probe", F.explode("diff").alias("e"))
-    often = flat.groupBy(F.col("v").alias("v2"), F.col("e").alias("e2")).agg(F.count("*").alias("n")).filter("n > 1")
-    # elements that only one document has come first in its order and meet none: their number is enough
+    over, under = 100 + percent, 100 - percent
+    size = F.size("diff").cast("long")
+    each = gaps.select("u", "v", "part_u", "diff", (~F.col("linked") & (F.col("part_u") != F.col("v"))).alias("probe"), (size * over - F.col("n_u") * under).alias("g"), F.greatest(F.lit(1), F.col("n_v") * under).alias("width"))
+    each = each.withColumn("class", _div(F.col("g"), F.col("width")))
+    # of a reference: the classes there are, and those with documents that ask; their number is bounded by the texts' sizes
+    classes = each.groupBy(F.col("v").alias("v3")).agg(F.collect_set("class").alias("all"), F.collect_set(F.when(F.col("probe"), F.col("class"))).alias("asking")).filter(F.size("asking") > 0)
+    flat = each.select("u", "v", "part_u", F.explode("diff").alias("e"))
+    often = flat.groupBy(F.col("v").alias("v2"), F.col("e").alias("e2")).agg(F.count("*").alias("n"), F.min("part_u").alias("a"), F.max("part_u").alias("b")).filter("a < b")
     shared = flat.join(often, (F.col("v") == F.col("v2")) & (F.col("e") == F.col("e2")))
-    lists = shared.groupBy("u", "v", "part_u", "member", "probe").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"), F.count("*").alias("many"))
-    lists = lists.join(gaps.select(F.col("u").alias("gu"), F.col("v").alias("gv"), size.cast("long").alias("all")), (F.col("u") == F.col("gu")) & (F.col("v") == F.col("gv")))
-    alone = F.col("all") - F.col("many")
-    lists = store(lists.select("u", "v", "part_u", "es", (F.col("member") - alone).cast("int").alias("member"), (F.col("probe") - alone).cast("int").alias("probe")), "differences")
-    taken = lambda n: F.explode(F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col(n)))).alias("x")
-    probes = lists.filter("probe > 0").select("u", F.col("v").alias("ref"), "part_u", taken("probe")).select("u", "ref", "part_u", "x.e")
-    members = lists.filter("member > 0").select(F.col("u").alias("w"), F.col("v").alias("ref2"), F.col("part_u").alias("part_w"), taken("member")).select("w", "ref2", "part_w", F.col("x.e").alias("e2"))
-    met = probes.join(members, (F.col("ref") == F.col("ref2")) & (F.col("e") == F.col("e2")) & (F.col("part_u") != F.col("part_w")))
+    lists = shared.groupBy(F.col("u").alias("u4"), F.col("v").alias("v4")).agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
+    plain = each.select("u", "v", "part_u", "probe", "g", "width", "class", size.alias("size"))
+    lists = plain.join(lists, (F.col("u") == F.col("u4")) & (F.col("v") == F.col("v4")))
+    lists = lists.join(bounded(classes), F.col("v") == F.col("v3")).withColumn("es", F.transform("es", lambda x: x["e"]))
+
+    def first(partners):
+        """For each class of partners, the elements that count: (e, class, elements from it on)."""
+        alone = F.col("size") - F.size("es")
+        needed = lambda k: F.greatest(F.lit(1), -_div(-(F.col("g") + k * F.col("width")), 2 * over))
+        many = lambda k: F.greatest(F.lit(0), F.col("size") - needed(k) + 1 - alone).cast("int")
+        return F.flatten(F.transform(partners, lambda k: F.transform(F.slice("es", F.lit(1), many(k)), lambda e, i: F.struct(e.alias("e"), k.alias("k"), (F.size("es") - i).alias("left")))))
+
+    lists = store(lists.select("u", "v", "part_u", "g", "class", F.when(F.col("probe"), first(F.col("all"))).alias("probes"), first(F.col("asking")).alias("members")), "differences")
+    probes = lists.select("u", F.col("v").alias("ref"), "part_u", F.col("g").alias("g_u"), F.col("class").alias("c"), F.explode("probes").alias("x")).select("u", "ref", "part_u", "g_u", "c", "x.e", "x.k", F.col("x.left").alias("left_u"))
+    members = lists.select(F.col("u").alias("w"), F.col("v").alias("ref2"), F.col("part_u").alias("part_w"), F.col("g").alias("g_w"), F.col("class").alias("k2"), F.explode("members").alias("x")).select(
+        "w", "ref2", "part_w", "g_w", "k2", F.col("x.e").alias("e2"), F.col("x.k").alias("c2"), F.col("x.left").alias("left_w")
+    )
+    same = (F.col("ref") == F.col("ref2")) & (F.col("e") == F.col("e2")) & (F.col("c") == F.col("c2")) & (F.col("k") == F.col("k2"))
+    enough = F.col("g_u") + F.col("g_w") <= F.least("left_u", "left_w") * (2 * over)
+    met = probes.join(members, same & (F.col("part_u") != F.col("part_w")) & enough)
     return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
 
 
@@ -230,8 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without the documents that are near copies of one with a smaller id; columns as they are."""
-    gone = near_duplicates(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), **how).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return packed(docs, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def op3_minhash_dedup(spark, sf_dir):
