@@ -17,13 +17,16 @@ SALTS = 32
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, local runs) a temporary folder is set instead.
+    Only where it is unset and the session runs in one process (tests, local runs), a temporary folder is set instead.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext._jsc.sc()
         path = sc.getCheckpointDir().get() if sc.getCheckpointDir().isDefined() else None
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="hawthorn-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
