@@ -1,18 +1,21 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged, softmax, numpy SGD.
 
 A word's vector is the mean of the vectors of its features (the word and its 3- to 5-character
-n-grams with bounds, hashed into 2**17 buckets). Each pair of neighbouring words adds a word bigram, by its
-pattern: the same word twice, or two words. A document's vector is the mean over words and bigrams
-(as if it had a few neutral words more, so that short texts stay near the bias); two outputs and softmax.
-Since all that is linear up to the softmax, a trained model is one number for each bucket,
-vector . (u1 - u0); texts are scored by arrays over all their code points, without a Python step for each word.
+n-grams with bounds, hashed into 2**17 buckets). Each pair of neighbouring words adds the vector of its word bigram, which
+is hashed by the difference of the words' hashes (so that a word said twice has one bucket, whatever the word). A
+document's vector is the mean over words and bigrams (as if it had a few neutral words more, so that short texts stay near
+the bias); two outputs and softmax. Steps of SGD on a document's vectors are divided by the squared length of their weights,
+so that a long text moves its mean as far as a short one. Since all that is linear up to the softmax, a trained model is
+one number for each bucket, vector . (u1 - u0); texts are scored by arrays over all their code points, without a Python step
+for each word.
 
 Training takes at most `per_class` documents of each label, the least by a hash of their id, from
-rows of labels with crc32(id) mod 4 other than 2; they alone reach the driver. Scoring is one pass over whole texts.
+rows of labels with crc32(id) mod 4 other than 2; their buckets and weights alone reach the driver, made of whole texts on the
+executors. Scoring is one pass over whole texts.
 Inputs of a score: the text only.
 
 Cases: null or empty text: the bias alone; labels null, other than 0 and 1, repeated or without a document:
-not trained on (repeated: once, the least label); no labels, or of one class only: the share
+not trained on (repeated: once, the least label); a doc_id of several texts: trained on the least of them; no labels, or of one class only: the share
 of label 1, smoothed; repeated rows: each scored; null doc_id: scored, not held out; very long texts: whole; empty
 table: no rows; extra columns: ignored.
 """
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 
 from . import kernels
 
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 12, 8, 0.1, 5
+BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 12, 8, 0.3, 5
 #: Bound on the labelled documents of each class that training takes.
 PER_CLASS = 1500
 #: Characters of text that are scored at a time.
 CHARS = 500_000
-#: Buckets of the bigram patterns (beside the hashed ones), and neutral words in each text's mean.
-SAME, OTHER, NEUTRAL = BUCKETS, BUCKETS + 1, 6
+#: Neutral words in each text's mean.
+NEUTRAL = 6
 THRESHOLD = 0.7
 
 
@@ -68,8 +71,9 @@ class Text:
         self.hashes = (total[ends] - total[starts]) * kernels.powers(kernels._INV, len(x))[starts]
         self.first = np.searchsorted(starts, np.concatenate([[0], ends_at[:-1]]))
         self.first = np.append(self.first, self.n_words)
-        self.repeated = np.append(False, self.hashes[1:] == self.hashes[:-1]) if self.n_words else np.zeros(0, bool)
-        self.repeated[self.first[:-1][self.first[:-1] < self.n_words]] = False
+        #: Whether a word ends a bigram: all but the first of each text.
+        self.follows = np.ones(self.n_words, bool)
+        self.follows[self.first[:-1][self.first[:-1] < self.n_words]] = False
 
     def grams(self):
         """(buckets, word of each) for each size of n-gram; then the words themselves."""
@@ -87,6 +91,11 @@ class Text:
             yield _buckets(h), self.word_of[at + 1]
         yield _buckets(self.hashes), np.arange(self.n_words, dtype=np.int32)
 
+    def bigrams(self):
+        """Buckets of the bigrams, and the words that end them."""
+        ends = np.flatnonzero(self.follows)
+        return _buckets(self.hashes[ends] - self.hashes[ends - 1]), ends
+
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their weights; the weights of a text sum to less than 1."""
@@ -94,8 +103,8 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not t.n_words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     n = 2 * t.n_words - 1 + NEUTRAL
-    same = int(t.repeated.sum())
-    ids, weights = [np.array([SAME, OTHER])], [np.array([same / n, (t.n_words - 1 - same) / n])]
+    pairs = t.bigrams()[0]
+    ids, weights = [pairs], [np.full(len(pairs), 1.0 / n)]
     for buckets, word in t.grams():
         ids.append(buckets)
         weights.append(1.0 / (t.count[word] * n))
@@ -108,7 +117,6 @@ class Model:
 
     def __init__(self, bias: float, table: np.ndarray):
         self.bias, self.table = bias, table
-        self.same, self.other = float(table[SAME]), float(table[OTHER])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         t = Text(texts)
@@ -116,24 +124,23 @@ class Model:
         for buckets, word in t.grams():
             words += np.bincount(word, self.table[buckets], minlength=t.n_words)
         words /= t.count
-        words += np.where(t.repeated, self.same, self.other)
+        pairs, ends = t.bigrams()
+        words[ends] += self.table[pairs]
         total = np.concatenate([[0.0], np.cumsum(words)])
         n = np.diff(t.first)
-        some = n > 0
-        sums = total[t.first[1:]] - total[t.first[:-1]] - np.where(some, self.other, 0.0)  # the first word ends no bigram
-        logit = self.bias + np.where(some, sums / np.maximum(1, 2 * n - 1 + NEUTRAL), 0.0)
+        sums = total[t.first[1:]] - total[t.first[:-1]]
+        logit = self.bias + np.where(n > 0, sums / (2 * n - 1 + NEUTRAL), 0.0)
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """bags: distinct buckets and weights of each document."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    n, ones = len(texts), sum(labels)
+    n, ones = len(bags), sum(labels)
     if not 0 < ones < n:
-        return Model(float(np.log((ones + 1) / (n - ones + 1))), np.zeros(BUCKETS + 2, np.float32))
-    bags = [_bag(t) for t in texts]
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 2, DIM)).astype(np.float32)
+        return Model(float(np.log((ones + 1) / (n - ones + 1))), np.zeros(BUCKETS, np.float32))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     outputs, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    past = np.zeros(BUCKETS + 2, np.float32)
     step, total = 0, epochs * n
     for _ in range(epochs):
         for i in rng.permutation(n):
@@ -148,10 +155,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             back = p @ outputs
             outputs -= lr * np.outer(p, hidden)
             bias -= lr * 0.1 * p
-            if len(ids):  # steps by each bucket's own past gradients (Adagrad), as its share of a mean may be tiny
-                step_of = np.outer(weights, back)
-                past[ids] += (step_of * step_of).mean(axis=1)
-                vectors[ids] -= lr * step_of / np.sqrt(past[ids] + 1e-12)[:, None]
+            if len(ids):
+                vectors[ids] -= np.outer(lr / float(weights @ weights) * weights, back)
     return Model(float(bias[1] - bias[0]), (vectors @ (outputs[1] - outputs[0])).astype(np.float32))
 
 
@@ -164,13 +169,20 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
 
 
+def _bag_rows(batches):
+    """(doc_id, text, quality) -> doc_id, quality, ids, weights."""
+    for batch in batches:
+        bags = [_bag(text.as_py() or "") for text in batch.column(1)]
+        cols = [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in bags], pa.list_(pa.int32())), pa.array([w for _, w in bags], pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "quality", "ids", "weights"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = sample(docs, labels, per_class).dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()
-    texts, marks = [], []
-    for row in rows:
-        texts.append(row.text or "")
-        marks.append(int(row.quality))
-    return train(texts, marks)
+    chosen = sample(docs, labels, per_class).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").cast("int").alias("quality"))
+    made = chosen.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(_bag_rows, "doc_id bigint, quality int, ids array<int>, weights array<float>")
+    rows = made.orderBy("doc_id").toArrow()
+    bags = [(ids.values.to_numpy(), weights.values.to_numpy()) for ids, weights in zip(rows.column("ids"), rows.column("weights"))]
+    return train(bags, rows.column("quality").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hawthorn.llm import bpe, chat_format, exact_topk, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from hawthorn.llm import bpe, chat_format, exact_topk, kernels, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, v string, span string"
@@ -376,6 +376,53 @@ def test_classifier(spark, nothing):
     assert quality_classifier.score(nothing, empty).count() == 0 and quality_classifier.score(docs, empty).first().score == 0.5
 
 
+def plain_bag(text):
+    """Buckets and weights by loops over words and n-grams."""
+    from hawthorn.llm.quality_classifier import _ODD, NEUTRAL
+
+    m = 2**64
+    mix = lambda x: int(kernels.mix(np.array([x], np.uint64))[0])
+    bucket = lambda h: (((h ^ (h >> 31)) * 0x9E3779B97F4A7C15) % m) >> 47
+    words, out = WORD.findall(text), Counter()
+    hashes = [sum(mix(ord(c)) * pow(kernels._BASE, j, m) for j, c in enumerate(w)) % m for w in words]
+    n = 2 * len(words) - 1 + NEUTRAL
+    for w, h in zip(words, hashes):
+        bound = [0, *map(ord, w), 0]
+        features = [h] + [sum(int(_ODD[k, j]) * x for j, x in enumerate(bound[i : i + size])) % m for k, size in enumerate((3, 4, 5)) for i in range(len(bound) - size + 1)]
+        for f in features:
+            out[bucket(f)] += 1 / (len(features) * n)
+    for a, b in zip(hashes, hashes[1:]):
+        out[bucket((b - a) % m)] += 1 / n
+    return out
+
+
+def test_classifier_against_plain_loops(texts):
+    """Features, scores and every step of the training by loops over single documents and buckets."""
+    q = quality_classifier
+    some = [t for t in texts if t and len(t) < 2000] + ["", "Was Was Was", "é ññ 🙂 🙂"]
+    for t in some:
+        ids, weights = q._bag(t)
+        want = plain_bag(t)
+        assert set(ids.tolist()) == set(want) and np.allclose([want[i] for i in ids.tolist()], weights, rtol=1e-4)
+    labels = [i % 2 for i in range(len(some))]
+    model = q.train([q._bag(t) for t in some], labels, epochs=2)
+    rng = np.random.Generator(np.random.PCG64(q.SEED))
+    vectors, outputs, bias = rng.uniform(-1 / q.DIM, 1 / q.DIM, (q.BUCKETS, q.DIM)).astype(np.float32).astype(float), np.zeros((2, q.DIM)), np.zeros(2)
+    bags = [plain_bag(t) for t in some]
+    for step, i in enumerate([i for _ in range(2) for i in rng.permutation(len(some))]):
+        lr = q.RATE * (1 - step / (2 * len(some)))
+        hidden = sum((w * vectors[k] for k, w in bags[i].items()), np.zeros(q.DIM))
+        z = np.exp(outputs @ hidden + bias)
+        slope = z / z.sum() - np.eye(2)[labels[i]]
+        back, square = slope @ outputs, sum(w * w for w in bags[i].values())
+        outputs -= lr * np.outer(slope, hidden)
+        bias -= lr * 0.1 * slope
+        for k, w in bags[i].items():
+            vectors[k] -= lr * w / square * back
+    logits = [sum(w * (vectors[k] @ (outputs[1] - outputs[0])) for k, w in bag.items()) + bias[1] - bias[0] for bag in bags]
+    assert np.allclose(model.scores(some), 1 / (1 + np.exp(-np.array(logits))), atol=1e-3)
+
+
 def test_licenses(spark, docs, texts, nothing):
     t = license_scan.Templates(spark)
     got = [(r.doc_id, r.license, r.n_matched) for r in license_scan.scan(docs, t).collect()]
