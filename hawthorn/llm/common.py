@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,21 +37,53 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/hawthorn/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """Within it, what runs hands Python at most about so many bytes at a time: texts of any length in bounded memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, label: str, keys: list[str], codec: str = "snappy") -> DataFrame:
+    """Like store(), laid out in buckets by keys, as many as there are shuffle partitions: joins and groupings by keys need no shuffle.
+
+    df should be dealt out by keys already. Only the files stay, in the shared folder: the name of the table is gone at once.
+    """
+    spark = df.sparkSession
+    name = f"hawthorn_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark):
+        df.write.option("path", new_path(spark, label)).option("compression", codec).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def folders(df: DataFrame) -> list[str]:
+    """The folders of tables made by store() that df reads."""
+    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles() if "/hawthorn/" in f})
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by store(); only for tables that nothing reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/hawthorn/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in folders(df):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

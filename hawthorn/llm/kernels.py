@@ -18,8 +18,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER_BYTE = _BYTE[_LOWER]
 _powers: dict[int, np.ndarray] = {}
-#: Bytes of text that a kernel handles at a time.
-CHUNK = 1 << 21
+#: Bytes of text that a kernel handles at a time: its arrays of eight bytes for each stay near the processor's cache.
+CHUNK = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
         x = np.full(max(n, CHUNK + 1024), base % 2**64, dtype=np.uint64)
         x[0] = 1
         have = _powers[base] = np.multiply.accumulate(x)
-        if len(have) > 8 * CHUNK:  # a single huge text: don't keep what it needed
+        if len(have) > 16 * CHUNK:  # a single huge text: don't keep what it needed
             _powers.pop(base)
     return have[:n]
 

@@ -10,16 +10,17 @@ gram's hash, the run's content hash, and where the run first starts; it is a tab
 bucketed and sorted by that key. Batches come in order of doc_id, so what an existing level
 holds is always earlier. For each batch:
 
-1. runs of the batch are made in tasks; a run seen earlier in the same chunk is a repeat there and
-   then, and only first ones go on (a hot passage sends one row for each chunk);
-2. the batch's own array is made by a grouped minimum and merge-scanned (sort-merge join on the
-   buckets, no shuffle of the index) against each level;
+1. runs of the batch are made in tasks; a run seen earlier in the same share of a task is a repeat there and
+   then, and goes on without its content (a hot passage sends one row with it for each share);
+2. they are sorted by key and place, so that the first of each is the batch's own array, and merge-scanned
+   (sort-merge join on the buckets, no shuffle of the index) against each level;
 3. entries that are new become a level of rank 0; two levels of equal rank merge into one of the next.
 
-Runs that are equal as a whole are settled then. Runs that share a gram but differ (edges of
+Runs that are equal as a whole are settled then, by 128 bits. Runs that share a gram but differ (edges of
 passages) are settled at the end window by window: each first occurrence of such a run gives
-its windows' hashes, again only the first in each chunk, and the smallest place of each
-hash wins. Coverage is then applied to the texts.
+its windows' hashes, again only the first in each share, and the smallest place of each
+(gram, hash) wins. Coverage is then applied to the texts, which are laid out by row once, so that
+they are shuffled once in all.
 
 Cases: null text: empty; empty or short texts: nothing removed; doc_id null or repeated: such tables
 get row numbers in the order of (doc_id, text), null first, and results for each row; very
@@ -30,22 +31,23 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import forget, store
+from .common import forget, store, store_by
 
 _U = np.uint64
 LENGTH, GRAM, BATCHES = 100, 40, 4
 #: Bytes of one text handled at a time; below 2**24.
-PIECE = 8_000_000
+PIECE = 1_000_000
 SHIFT = 1024
+#: Runs, or windows, that a task gathers before it tells first ones from repeats.
+HELD = 500_000
 
 
 def _slide_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -116,7 +118,16 @@ def _signed(x: np.ndarray, valid: np.ndarray) -> pa.Array:
 
 
 def _run_rows(length: int, gram: int):
+    def out(parts):
+        g, c, doc, start, windows = (np.concatenate(x) for x in zip(*parts))
+        fresh = _firsts((c, g), doc, start)
+        span = start * SHIFT + windows
+        # repeats that are known have no content hash, and a key that spreads them
+        g = np.where(fresh, g, kernels.mix(doc.astype(_U) * _U(0x9E3779B97F4A7C15) + span.astype(_U)))
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), _signed(c, fresh), pa.array(doc), pa.array(span)], ["g", "c", "row", "span"])
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for row, data, offsets, base in _pieces(batch.column(1), length):
@@ -124,36 +135,37 @@ def _run_rows(length: int, gram: int):
                 if found is None:
                     continue
                 which, g, c, first, windows = found
-                doc = ids[row + which]
-                start = (first - offsets[which] + base).astype(np.int64)
-                fresh = _firsts((c, g), doc, start)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(g, fresh), _signed(c, fresh), pa.array(doc), pa.array(start * SHIFT + windows)], ["g", "c", "row", "span"]
-                )
+                parts.append((g, c, ids[row + which], (first - offsets[which] + base).astype(np.int64), windows))
+                held += len(g)
+                if held > HELD:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
 
     return run
 
 
 def _window_rows(length: int):
-    """(row, text, spans) -> (h, row, p): windows of the given runs; h is null for a repeat within the chunk."""
+    """(row, text, grams, spans) -> (g, h, row, p): windows of the given runs, by their run's gram and their own hash; h is null for a repeat in this share."""
 
     def out(parts):
-        h, row, p = (np.concatenate(x) for x in zip(*parts))
-        return pa.RecordBatch.from_arrays([_signed(h, _firsts((h,), row, p)), pa.array(row), pa.array(p)], ["h", "row", "p"])
+        g, h, row, p = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(g), _signed(h, _firsts((h, g), row, p)), pa.array(row), pa.array(p)], ["g", "h", "row", "p"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            for row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for row, text, grams, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                spans = np.array(spans.as_py(), np.int64)
+                spans, grams = np.array(spans.as_py(), np.int64), np.array(grams.as_py(), np.int64)
                 starts, n = spans // SHIFT, spans % SHIFT
                 p = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 total = _prefix(data)
                 h = kernels.mix((total[p + length] - total[p]) * kernels.powers(kernels._INV, len(data))[p])
-                parts.append((h, np.full(len(p), row, np.int64), p))
+                parts.append((np.repeat(grams, n), h, np.full(len(p), row, np.int64), p))
                 held += len(p)
-                if held > 500_000:
+                if held > HELD:
                     yield out(parts)
                     parts, held = [], 0
         if parts:
@@ -163,21 +175,20 @@ def _window_rows(length: int):
 
 
 def _later(batches):
-    """Of rows sorted by (h, row, p), all but the first of each h; rows without h are repeats already."""
+    """Of rows sorted by (g, h, row, p), all but the first of each (g, h); rows without h are repeats already."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0)
-        valid = np.asarray(h.is_valid())
-        x = np.asarray(h.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-        same = np.zeros(len(x), bool)
-        same[1:] = (x[1:] == x[:-1]) & valid[:-1]
-        same[0] = last is not None and x[0] == last
-        last = int(x[-1]) if valid[-1] else None
-        keep = pa.array(same | ~valid)
-        start = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int64) * SHIFT + 1
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(start)], ["row", "span"]).filter(keep)
+        g = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+        valid = np.asarray(batch.column(1).is_valid())
+        h = np.asarray(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        same = np.zeros(len(h), bool)
+        same[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & valid[:-1] & valid[1:]
+        same[0] = bool(valid[0]) and last == (int(g[0]), int(h[0]))
+        last = (int(g[-1]), int(h[-1])) if valid[-1] else None
+        start = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), np.int64) * SHIFT + 1
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(start)], ["row", "span"]).filter(pa.array(same | ~valid))
 
 
 def covered(spans: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,81 +204,78 @@ def covered(spans: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.n
 
 def _release(spark) -> None:
     """Lets Spark delete the shuffle files of plans that are gone, before more are made."""
+    spark.range(1).count()  # the session holds the plan that ran last
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 class SuffixFamily:
-    """Levels of suffix arrays, kept as bucketed tables; ingest() takes batches in order of their rows."""
+    """Levels of suffix arrays, kept as bucketed files in the shared folder; ingest() takes batches in order of their rows."""
 
     def __init__(self, spark, length: int = LENGTH, gram: int = GRAM):
         self.spark, self.length, self.gram = spark, length, gram
-        self.levels: list[tuple[int, str]] = []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[int, DataFrame]] = []
 
-    def _write(self, df: DataFrame) -> str:
-        """df is laid out by (g, c) already, by a grouping or a join of the buckets: no shuffle here."""
-        name = f"hawthorn_suffixes_{uuid.uuid4().hex}"
-        df.select("g", "c", "row", "span", "older").write.bucketBy(self.buckets, "g", "c").sortBy("g", "c").format("parquet").saveAsTable(name)
-        return name
+    def _write(self, df: DataFrame) -> DataFrame:
+        """df is laid out by (g, c) already, by a window or a join of the buckets: no shuffle here."""
+        return store_by(df.select("g", "c", "row", "span", "older"), "suffixes", ["g", "c"])
 
-    def _level(self, name: str) -> DataFrame:
-        return self.spark.table(name).filter("NOT older").select("g", "c", "row", "span")
+    def _level(self, table: DataFrame) -> DataFrame:
+        return table.filter("NOT older").select("g", "c", "row", "span")
 
-    def _merged(self, a: str, b: str) -> DataFrame:
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """Two levels merge bucket by bucket; their keys are disjoint."""
-        left, right = (self._level(n).select(*[F.col(c).alias(f"{c}{k}") for c in ("g", "c", "row", "span")]) for k, n in enumerate((a, b)))
+        left, right = (self._level(t).select(*[F.col(c).alias(f"{c}{k}") for c in ("g", "c", "row", "span")]) for k, t in enumerate((a, b)))
         both = left.join(right, (F.col("g0") == F.col("g1")) & (F.col("c0") == F.col("c1")), "full_outer")
         return both.select(*[F.coalesce(f"{c}0", f"{c}1").alias(c) for c in ("g", "c", "row", "span")], F.lit(False).alias("older"))
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
-
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (row, text); gives its repeated runs as stored rows (row, span)."""
-        runs = store(docs.select("row", "text").mapInArrow(_run_rows(self.length, self.gram), "g bigint, c bigint, row bigint, span bigint"), "runs")
-        entries = runs.filter("c IS NOT NULL")
-        array = entries.groupBy("g", "c").agg(F.min(F.struct("row", "span")).alias("first"))
-        older = F.lit(False)
-        for i, (_, name) in enumerate(self.levels):
-            level = self._level(name).select("g", "c", F.lit(True).alias(f"in{i}"))
-            array = array.join(level, ["g", "c"], "left")
-            older = older | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        own = self._write(array.select("g", "c", F.col("first.row").alias("row"), F.col("first.span").alias("span"), older.alias("older")))
-        known = self.spark.table(own).select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("row").alias("r2"), F.col("span").alias("s2"), "older")
-        again = entries.join(known, (F.col("g") == F.col("g2")) & (F.col("c") == F.col("c2"))).filter(F.col("older") | (F.col("row") != F.col("r2")) | (F.col("span") != F.col("s2")))
-        repeats = store(again.select("row", "span").unionByName(runs.filter("c IS NULL").select("row", "span")), "repeats")
+        """Adds a batch (row, text); gives its repeated runs as stored rows (row, span).
+
+        One shuffle of the batch's runs; all but the first of each are repeats, and that too if a level has it.
+        """
+        runs = docs.select("row", "text").mapInArrow(_run_rows(self.length, self.gram), "g bigint, c bigint, row bigint, span bigint")
+        place = F.row_number().over(Window.partitionBy("g", "c").orderBy("row", "span"))
+        array = runs.withColumn("older", F.col("c").isNull() | (place > 1))
+        for i, (_, table) in enumerate(self.levels):
+            level = self._level(table).select(F.col("g").alias(f"g{i}"), F.col("c").alias(f"c{i}"))
+            array = array.join(level, (F.col("g") == F.col(f"g{i}")) & (F.col("c") == F.col(f"c{i}")), "left")
+            array = array.withColumn("older", F.col("older") | F.col(f"g{i}").isNotNull()).drop(f"g{i}", f"c{i}")
+        own = self._write(array)
+        repeats = store(own.filter("older").select("row", "span"), "repeats")
         self.levels.append((0, own))
-        forget(runs)
         _release(self.spark)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._write(self._merged(b, a))))
-            self._drop(a)
-            self._drop(b)
+            (rank, a), (_, b) = self.levels[-2:]
+            merged = self._write(self._merged(a, b))
+            self.levels[-2:] = [(rank + 1, merged)]
+            forget(a)
+            forget(b)
             _release(self.spark)
         return repeats
 
     def entries(self) -> DataFrame:
         out = None
-        for _, name in self.levels:
-            out = self._level(name) if out is None else out.unionByName(self._level(name))
+        for _, table in self.levels:
+            out = self._level(table) if out is None else out.unionByName(self._level(table))
         return out
 
     def contested(self) -> DataFrame:
-        """row, spans: for each document, the first occurrences of runs whose gram also has another run; stored."""
-        mixed = self.entries().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select(F.col("g").alias("g2"))
-        asked = self.entries().select("g", "row", "span").join(mixed, F.col("g") == F.col("g2")).select("row", "span")
-        return store(asked.groupBy("row").agg(F.collect_list("span").alias("spans")), "contested")
+        """row, g, span: the first occurrences of runs whose gram also has another run; stored."""
+        mixed = store(self.entries().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select(F.col("g").alias("g2")), "mixed")
+        _release(self.spark)
+        out = store(self.entries().select("row", "g", "span").join(mixed, F.col("g") == F.col("g2")).select("row", "g", "span"), "contested")
+        forget(mixed)
+        return out
 
     def close(self) -> None:
-        for _, name in self.levels:
-            self._drop(name)
+        for _, table in self.levels:
+            forget(table)
         self.levels = []
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the other columns; row orders the documents. It is doc_id itself where that is a key."""
+    """row and the columns of docs (doc_id, text, ...); row orders the documents. It is doc_id itself where that is a key."""
     ids = docs.select("doc_id").groupBy("doc_id").count()
     if not ids.filter("doc_id IS NULL OR count > 1").limit(1).count():
         return docs.withColumn("row", F.col("doc_id").cast("long"))
@@ -275,23 +283,29 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """row, spans (packed: start * 1024 + windows) of all windows that also start earlier. docs: row, text."""
+    """row, spans (packed: start * 1024 + windows) of all windows that also start earlier.
+
+    docs: row, text, laid out by row (store_by), so that texts meet what is asked of them without a shuffle.
+    """
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx("row", [i / batches for i in range(1, batches)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     family, found = SuffixFamily(spark, length, gram), []
-    for low, high in zip(bounds, bounds[1:]):
-        part = docs if low is None else docs.filter(F.col("row") > low)
-        found.append(family.ingest(part if high is None else part.filter(F.col("row") <= high)))
-    asked = family.contested()
-    family.close()
+    try:
+        for low, high in zip(bounds, bounds[1:]):
+            part = docs if low is None else docs.filter(F.col("row") > low)
+            found.append(family.ingest(part if high is None else part.filter(F.col("row") <= high)))
+        contested = family.contested()
+    finally:
+        family.close()
     _release(spark)
-    texts = docs.select("row", "text").join(asked.select(F.col("row").alias("r2"), "spans"), F.col("row") == F.col("r2")).select("row", "text", "spans")
-    windows = texts.mapInArrow(_window_rows(length), "h bigint, row bigint, p bigint")
+    asked = contested.groupBy(F.col("row").alias("r2")).agg(F.collect_list(F.struct("g", "span")).alias("runs"))
+    texts = docs.select("row", "text").join(asked, F.col("row") == F.col("r2")).select("row", "text", F.col("runs.g").alias("grams"), F.col("runs.span").alias("spans"))
+    windows = texts.mapInArrow(_window_rows(length), "g bigint, h bigint, row bigint, p bigint")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = windows.repartition(n, F.coalesce("h", F.xxhash64("row", "p"))).sortWithinPartitions("h", "row", "p")
+    spread = windows.repartition(n, "g", F.coalesce("h", F.xxhash64("row", "p"))).sortWithinPartitions("g", "h", "row", "p")
     found.append(store(spread.mapInArrow(_later, "row bigint, span bigint"), "windows"))
-    forget(asked)
+    forget(contested)
     _release(spark)
     every = found[0]
     for x in found[1:]:
@@ -314,7 +328,7 @@ def _apply(length: int, keep):
             extra = pa.Table.from_pylist(rows) if rows else None
             if extra is None:
                 continue
-            carried = [n for n in names if n not in ("text", "spans", "row", *extra.column_names)]
+            carried = [n for n in names if n not in ("text", "spans", *extra.column_names)]
             extra = extra.combine_chunks()
             cols = [batch.column(n) for n in carried] + [extra.column(n).chunk(0) for n in extra.column_names]
             yield pa.RecordBatch.from_arrays(cols, [*carried, *extra.column_names])
@@ -331,20 +345,29 @@ def kept_bytes(data: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def _joined(docs: DataFrame, **how) -> DataFrame:
-    rows = numbered(docs)
-    spans = repeated_spans(rows.select("row", "text"), **how)
-    return rows.join(spans.select(F.col("row").alias("_r"), "spans"), F.col("row") == F.col("_r"), "left").drop("_r")
+def _judged(docs: DataFrame, keep, schema, length: int, **how) -> DataFrame:
+    """docs (doc_id, text, ...) without text, and what keep says of each text; stored."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = store_by(numbered(docs).repartition(n, "row"), "by-row", ["row"], "zstd")
+    _release(spark)
+    spans = repeated_spans(rows.select("row", "text"), length=length, **how)
+    joined = rows.join(spans.select(F.col("row").alias("_r"), "spans"), F.col("row") == F.col("_r"), "left")
+    out = store(joined.select(*[F.col(c) for c in docs.columns if c != "text"], "text", "spans").mapInArrow(_apply(length, keep), schema), "judged")
+    forget(rows)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """docs with text without its repeated bytes; a character that was cut goes as a whole. Adds n_removed."""
+    """docs with text without its repeated bytes; a character that was cut goes as a whole. The last column, n_removed, is new; where docs has one, its name gets _ added until none has it."""
     keep = lambda data, a, b: {"text": kept_bytes(data, a, b).decode("utf-8", "ignore"), "n_removed": int((b - a).sum())}
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_removed")]).alias("_doc")
-    joined = _joined(docs.select("doc_id", "text", whole), length=length, **how).select("_doc", "text", "spans")
-    kind = joined.schema["_doc"].dataType
-    cut = joined.mapInArrow(_apply(length, keep), T.StructType([T.StructField("_doc", kind), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]))
-    return cut.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "n_removed"], "n_removed")
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"))
+    kind = T.StructType([T.StructField("doc_id", whole.schema["doc_id"].dataType), T.StructField("_doc", whole.schema["_doc"].dataType), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    cut = _judged(whole, keep, kind, length, **how)
+    added = "n_removed"
+    while added in docs.columns:
+        added += "_"
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns], F.col("n_removed").alias(added))
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
@@ -353,8 +376,7 @@ def digests(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     def keep(data, a, b):
         return {"n_bytes": len(data), "n_removed": int((b - a).sum()), "n_spans": len(a), "kept_sha256": hashlib.sha256(kept_bytes(data, a, b)).hexdigest()}
 
-    joined = _joined(docs.select("doc_id", "text"), length=length, **how).select("doc_id", "text", "spans")
-    return joined.mapInArrow(_apply(length, keep), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _judged(docs.select(F.col("doc_id").cast("long"), "text"), keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", length, **how)
 
 
 def op9_suffix_dedup(spark, sf_dir):
