@@ -13,9 +13,10 @@ and at most |q| |c|. A query whose k-th best is above |q| |c| for the longest c
 passes over that block, whatever comes after it (a task reads several files, in no order of length);
 a candidate whose bound is below the k-th best is not multiplied out. What is
 left gets the exact whole-number product, so rounding in the rotation can't change results
-(bounds carry a margin). Queries come in blocks of bounded size, each broadcast (block_rows
-vectors at most) against all candidates; the partitions' lists, k rows for a query each, merge
-by a grouped window at the end.
+(bounds carry a margin). The `longest` longest candidates are tried first: their k-th best score for a query is where
+every task starts, so that tasks pass over, and send, nothing below it. Queries come in blocks of at most block_rows vectors;
+one block at a time is broadcast against all candidates and what is found for it stored, so that no more than a block is ever
+on the driver. The tasks' lists, at most k rows for a query each, merge by a grouped window at the end.
 
 Cases: vectors null, empty or with null or non-finite components: take no part; vectors of
 unequal lengths: the shorter is padded with zeros; ties: smaller vec_id; repeated vec_ids: each
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, store
+from .common import folders, forget, store
 
-SCALE, K, LEAD, BLOCK_ROWS = 64, 20, 16, 16384
+SCALE, K, LEAD, BLOCK_ROWS, LONGEST = 64, 20, 16, 16384, 8192
 #: A place not taken, and scores below and above what a long can hold.
 NONE, LOW, HIGH = -(2**63), -(2**63) + 1, 2**63 - 1
 
@@ -102,11 +103,15 @@ def _products(q: np.ndarray, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead: int, block: int = 512):
-    """Candidates (vec_id, v), in any order, fastest longest first -> (query, vec_id, score): k best of the partition for each query."""
-    dims = queries.shape[1]
+def _scan(asked, k: int, lead: int, block: int = 512):
+    """Candidates (vec_id, v), in any order, fastest longest first -> (query, place, vec_id, score): k best of the task for each query.
+
+    asked() gives the queries' ids, places, vectors and starts (scores below which nothing is wanted), and the rotation.
+    """
 
     def run(batches):
+        ids, places, queries, start, turn = asked()
+        dims = queries.shape[1]
         q_turned = queries @ turn
         q1, q2 = q_turned[:, :lead], np.linalg.norm(q_turned[:, lead:], axis=1)
         q_norm = np.linalg.norm(queries, axis=1)
@@ -120,7 +125,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead:
                 c_norm = np.linalg.norm(c, axis=1)
                 margin = 1e-6 * (1 + q_norm.max(initial=0) * c_norm.max())
                 # for this block alone: a task may read several sorted files, in any order
-                kth = best[:, k - 1].astype(np.float64)
+                kth = np.maximum(best[:, k - 1], start).astype(np.float64)
                 live = np.flatnonzero(~(q_norm * c_norm.max() + margin < kth))
                 if not len(live):
                     continue
@@ -138,15 +143,33 @@ def _scan(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, lead:
                 order = np.lexsort((owners, ~scores), axis=1)[:, :k]
                 best[mine] = np.take_along_axis(scores, order, 1)
                 owner[mine] = np.take_along_axis(owners, order, 1)
-        q, at = np.nonzero(best > NONE)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int64)), pa.array(owner[q, at]), pa.array(best[q, at])], ["query_id", "place", "vec_id", "score"])
+        q, at = np.nonzero((best > NONE) & (best >= start[:, None]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(places[q]), pa.array(owner[q, at]), pa.array(best[q, at])], ["query_id", "place", "vec_id", "score"])
 
     return run
 
 
-def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lead: int = LEAD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _starts(heads: tuple[np.ndarray, np.ndarray], dims: int, k: int, step: int = 1024):
+    """(vec_id, place, v) -> with start, the k-th best score among heads (ids, vectors); NONE where there are fewer."""
+    cid, c = heads
+
+    def run(batches):
+        for batch in batches:
+            ids, queries = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), _matrix(batch.column(2), dims)
+            start = np.full(len(ids), NONE, np.int64)
+            for at in range(0, len(ids), step):
+                scores = _products(queries[at : at + step], c, ids[at : at + step, None] != cid[None, :])
+                if len(cid) >= k:
+                    start[at : at + step] = np.partition(scores, len(cid) - k, axis=1)[:, len(cid) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], ["vec_id", "place", "v", "start"])
+
+    return run
+
+
+def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lead: int = LEAD, block_rows: int = BLOCK_ROWS, longest: int = LONGEST) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by every."""
     spark = table.sparkSession
+    sc = spark.sparkContext
     schema = "query_id long, rank int, vec_id long, score long"
     vectors = whole_vectors(table, scale)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -155,20 +178,26 @@ def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lea
     if not dims:
         return spark.createDataFrame([], schema)
     turn = rotation(ordered, dims)
-    asked = store(ordered.filter(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "queries")
-    total = asked.count()
-    # blocks of queries by hash; each is at most about block_rows vectors, and is checked
-    blocks = max(1, -(-total * 5 // (4 * block_rows)))
-    out = None
-    for b in range(blocks if total else 0):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "v").toArrow()
-        ids = np.asarray(mine.column("vec_id").to_numpy(), np.int64)
-        found = ordered.select("vec_id", "v").mapInArrow(_scan(ids, _matrix(mine.column("v"), dims), turn, k, min(lead, dims)), "query_id bigint, place bigint, vec_id bigint, score bigint")
-        found = found.withColumn("place", F.col("place") * blocks + b)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema)
+    rows = lambda df, *columns: [np.asarray(x.to_numpy(), np.int64) if x.type == pa.int64() else _matrix(x, dims) for x in df.select(*columns).toArrow().columns]
+    heads = sc.broadcast(tuple(rows(ordered.orderBy(F.desc("norm2"), "vec_id").limit(longest), "vec_id", "v")))
+    queries = ordered.filter(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id", "v"]).select("vec_id", F.monotonically_increasing_id().alias("place"), "v")
+    asked = store(queries.mapInArrow(lambda batches: _starts(heads.value, dims, k)(batches), "vec_id bigint, place bigint, v array<double>, start bigint"), "queries")
+    heads.destroy()
+    # blocks of queries by hash, more of them until none is over the bound
+    blocks = max(1, -(-asked.count() // block_rows))
+    part = lambda: F.pmod(F.xxhash64("place"), F.lit(blocks))
+    while asked.groupBy(part().alias("b")).count().filter(F.col("count") > block_rows).count():
+        blocks += -(-blocks // 4)
+    found = []
+    for b in range(blocks):
+        mine = rows(asked.filter(part() == b), "vec_id", "place", "v", "start")
+        block = sc.broadcast((*mine, turn))
+        hits = ordered.select("vec_id", "v").mapInArrow(_scan(lambda block=block: block.value, k, min(lead, dims)), "query_id bigint, place bigint, vec_id bigint, score bigint")
+        found.append(store(hits, "hits"))
+        block.destroy()
     forget(asked)
+    forget(ordered)
+    out = spark.read.schema(found[0].schema).parquet(*[folder for x in found for folder in folders(x)])
     window = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     score = F.when(F.col("score").isin(LOW, HIGH), F.raise_error("a score is beyond 64 bits").cast("long")).otherwise(F.col("score"))
     return out.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

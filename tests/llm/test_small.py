@@ -246,8 +246,10 @@ def test_top_k(spark):
     for q, a in {(q, tuple(a)) for q, a in good if q % 20 == 0}:
         scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in good if c != q)[:20]
         want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(scores))
-    got = Counter(tuple(r) for r in exact_topk.top_k(df, block_rows=8).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == want and exact_topk.top_k(df.limit(0)).count() == 0
+    for how in ({"block_rows": 8}, {"block_rows": 3, "longest": 100}, {"longest": 30}, {"longest": 5}):
+        got = Counter(tuple(r) for r in exact_topk.top_k(df, **how).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == want
+    assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
 def test_scan_of_sorted_runs_in_any_order():
@@ -257,7 +259,8 @@ def test_scan_of_sorted_runs_in_any_order():
     ids = np.arange(2400)
     batches = [pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(list(v[part]), pa.list_(pa.float64()))], ["vec_id", "v"]) for part in (slice(0, 1200), slice(1200, 2400))]
     asked = ids[::100]
-    (out,) = exact_topk._scan(asked, v[asked], np.eye(4), 20, 2)(batches)
+    places, start = np.arange(len(asked)), np.full(len(asked), exact_topk.NONE)
+    (out,) = exact_topk._scan(lambda: (asked, places, v[asked], start, np.eye(4)), 20, 2)(batches)
     got = {}
     for row in out.to_pylist():
         got.setdefault(row["query_id"], set()).add((row["vec_id"], row["score"]))
