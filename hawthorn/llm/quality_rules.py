@@ -7,10 +7,11 @@ Outliers: each text gives a vector of transformed statistics (log mean word leng
 roots of the shares of symbols, capitals and punctuation in its word characters; shares are
 drawn towards the corpus's own share as by 200 more characters, so that short texts aren't
 outliers by chance). For each language and source the minimum-covariance-determinant
-estimate is taken: from medians and absolute deviations, concentration steps keep
+estimate is taken. It has three starts, all at the medians with absolute deviations as scales: without correlation, with
+that of the rows' directions from the medians, and with that of hyperbolic tangents. From each, concentration steps keep
 the three quarters of rows nearest by Mahalanobis distance, the distance's quantile being read
-off a histogram of fixed bins (so a group of any size is bounded counts), then one
-reweighting step. Rows over the cutoff are rejected. Variances have a floor, since
+off a histogram of fixed bins (so a group of any size is bounded counts), until no determinant moves; the start with the least
+determinant is taken, then one reweighting step. Rows over the cutoff are rejected. Variances have a floor, since
 most texts have no symbol at all.
 
 Groups under `least` rows are pooled within their language, then over all; fewer than that in all:
@@ -31,11 +32,13 @@ from .common import keyed_join, let, packed, store
 SPACE = r"[\x20\x09-\x0D]+"
 DIMS = 4
 #: Share of rows that a concentration step keeps; tail of the chi-square distribution at which a row is rejected.
-SHARE, TAIL = 0.75, 1e-6
+SHARE, TAIL = 0.75, 1e-3
 FLOOR = (0.03, 0.03, 0.03, 0.03)
-STEPS, LEAST, PRIOR = 4, 50, 200
+#: Most concentration steps; rows that a group has at least; characters of the corpus's own shares that each text is given.
+STEPS, LEAST, PRIOR = 12, 50, 200
 Z = [f"z{i}" for i in range(DIMS)]
 KEYS = ["g_lang", "g_source"]
+PLACES = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -107,25 +110,24 @@ def _quantile(rows: DataFrame, keys: list[str], bin_col: str, q: float) -> DataF
     return total.select(*keys, F.aggregate("bins", start, step)["cut"].alias("cut"))
 
 
-def _whitened(groups: DataFrame) -> DataFrame:
-    """keys, m0.., w00.. from keys, m0.., c00..: the inverse of the covariance's Cholesky factor."""
+def _whitened(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, m0.., w00.., logdet from keys, m0.., c00..: the inverse of the covariance's Cholesky factor."""
     g = groups
-    for i in range(DIMS):
-        for j in range(i + 1):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            g = g.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOOR[i] ** 2 / 100))) if i == j else s / F.col(f"l{j}{j}"))
-    for i in range(DIMS):
-        for j in range(i + 1):
-            if i == j:
-                g = g.withColumn(f"w{i}{j}", 1 / F.col(f"l{i}{i}"))
-            else:
-                s = F.lit(0.0)
-                for k in range(j, i):
-                    s = s + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-                g = g.withColumn(f"w{i}{j}", -s / F.col(f"l{i}{i}"))
-    return g.select(*KEYS, *[f"m{i}" for i in range(DIMS)], *[f"w{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    for i, j in PLACES:
+        s = F.col(f"c{i}{j}")
+        for k in range(j):
+            s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        g = g.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOOR[i] ** 2 / 100))) if i == j else s / F.col(f"l{j}{j}"))
+    for i, j in PLACES:
+        if i == j:
+            g = g.withColumn(f"w{i}{j}", 1 / F.col(f"l{i}{i}"))
+        else:
+            s = F.lit(0.0)
+            for k in range(j, i):
+                s = s + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+            g = g.withColumn(f"w{i}{j}", -s / F.col(f"l{i}{i}"))
+    logdet = sum((F.log(f"l{i}{i}") * 2 for i in range(1, DIMS)), F.log("l00") * 2)
+    return g.select(*keys, *[f"m{i}" for i in range(DIMS)], *[f"w{i}{j}" for i, j in PLACES], logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -138,17 +140,33 @@ def _distance() -> Column:
     return total
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """keys, m0.., c00.. of the rows, covariances times factor and with the floor."""
     sums = [F.count("*").alias("n"), *[F.sum(z).alias(f"s{i}") for i, z in enumerate(Z)]]
-    sums += [F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    g = rows.groupBy(*KEYS).agg(*sums)
+    sums += [F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"p{i}{j}") for i, j in PLACES]
+    g = rows.groupBy(*keys).agg(*sums)
     out = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)]
-    for i in range(DIMS):
-        for j in range(i + 1):
-            c = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * factor
-            out.append((c + F.lit(FLOOR[i] ** 2) if i == j else c).alias(f"c{i}{j}"))
-    return g.select(*KEYS, *out)
+    for i, j in PLACES:
+        c = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * factor
+        out.append((c + F.lit(FLOOR[i] ** 2) if i == j else c).alias(f"c{i}{j}"))
+    return g.select(*keys, *out)
+
+
+def _starts(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """keys, start, m0.., c00..: three first estimates for each group; wide: keys, m0.. (medians), d0.. (deviations)."""
+    near = keyed_join(rows, wide, KEYS, "inner").withColumns({f"y{i}": (F.col(Z[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"d{i}") ** 2 + FLOOR[i] ** 2) for i in range(DIMS)})
+    square = sum((F.col(f"y{i}") ** 2 for i in range(DIMS)), F.lit(0.0))
+    kinds = [("a", lambda i: F.col(f"y{i}") / F.sqrt(square + 1e-12)), ("b", lambda i: F.tanh(f"y{i}"))]
+    sums = near.groupBy(*KEYS).agg(*[F.sum(x(i) * x(j)).alias(f"{k}{i}{j}") for k, x in kinds for i, j in PLACES])
+    both = wide.join(sums, KEYS)
+    scale = lambda i: F.sqrt(F.col(f"d{i}") ** 2 + FLOOR[i] ** 2)
+    out = None
+    for start, k in enumerate(("", "a", "b")):
+        r = lambda i, j: F.coalesce(F.col(f"{k}{i}{j}") / F.sqrt(F.col(f"{k}{i}{i}") * F.col(f"{k}{j}{j}")), F.lit(0.0)) * 0.99 if k else F.lit(0.0)  # noqa: B023, E731
+        c = [((F.lit(1.0) if i == j else r(i, j)) * scale(i) * scale(j)).alias(f"c{i}{j}") for i, j in PLACES]
+        one = both.select(*KEYS, F.lit(start).alias("start"), *[f"m{i}" for i in range(DIMS)], *c)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 class Estimate:
@@ -175,18 +193,23 @@ class Estimate:
         mads = _quantile(away, [*KEYS, "dim"], "bin", 0.5).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000 * 1.4826).alias("mad"))
         wide = mids.join(mads, [*KEYS, "dim"]).groupBy(*KEYS).agg(
             *[F.max(F.when(F.col("dim") == i, F.col("mid"))).alias(f"m{i}") for i in range(DIMS)],
-            *[F.max(F.when(F.col("dim") == i, F.col("mad") * F.col("mad") + FLOOR[i] ** 2)).alias(f"c{i}{i}") for i in range(DIMS)],
+            *[F.max(F.when(F.col("dim") == i, F.col("mad"))).alias(f"d{i}") for i in range(DIMS)],
         )
-        groups = wide.join(enough, KEYS).withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIMS) for j in range(i)})
-        groups = store(_whitened(groups), "groups")
+        tried = [*KEYS, "start"]
+        groups = store(_whitened(_starts(rows, store(wide.join(enough, KEYS), "wide")), tried), "groups")
         kept_cov = SHARE / _chi2_cdf(_chi2_quantile(SHARE, DIMS), DIMS + 2)
         for _ in range(steps):
-            far = keyed_join(rows, groups, KEYS, "inner").select(*KEYS, *Z, F.floor(F.log(_distance() + 1e-4) * 64).alias("bin"))
-            cuts = store(_quantile(far, KEYS, "bin", SHARE), "cuts")
-            near = keyed_join(far, cuts, KEYS, "inner").filter("bin <= cut")
-            groups = store(_whitened(_moments(near, kept_cov)), "groups")
-        near = keyed_join(rows, groups, KEYS, "inner").filter(_distance() <= _chi2_quantile(0.975, DIMS))
-        self.groups = store(_whitened(_moments(near, 0.975 / _chi2_cdf(_chi2_quantile(0.975, DIMS), DIMS + 2))), "groups")
+            far = keyed_join(rows, groups, KEYS, "inner").select(*tried, *Z, F.floor(F.log(_distance() + 1e-4) * 64).alias("bin"))
+            cuts = store(_quantile(far, tried, "bin", SHARE), "cuts")
+            near = keyed_join(far, cuts, tried, "inner").filter("bin <= cut")
+            before = groups.select(*[F.col(k).alias(f"b_{k}") for k in tried], F.col("logdet").alias("b_logdet"))
+            groups = store(_whitened(_moments(near, tried, kept_cov), tried), "groups")
+            moved = groups.join(before, [F.col(k) == F.col(f"b_{k}") for k in tried]).filter(F.abs(F.col("logdet") - F.col("b_logdet")) > 1e-9)
+            if moved.isEmpty():
+                break
+        least_det = groups.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *[c for c in groups.columns if c[0] in "mw"])).alias("g")).select(*KEYS, "g.*")
+        near = keyed_join(rows, store(least_det, "groups"), KEYS, "inner").filter(_distance() <= _chi2_quantile(0.975, DIMS))
+        self.groups = store(_whitened(_moments(near, KEYS, 0.975 / _chi2_cdf(_chi2_quantile(0.975, DIMS), DIMS + 2)), KEYS).drop("logdet"), "groups")
 
     def vectors(self, stats: DataFrame) -> DataFrame:
         return _vectors(keyed_join(stats, self.pools, ["lang", "source"]), self.shares)
@@ -207,9 +230,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected ones; columns as they are. Texts are read again rather than shuffled."""
-    stats = store(statistics(docs.select("text", "lang", "source")).drop("text"), "statistics")
-    return Estimate(stats).distances(statistics(packed(docs, "text", "lang", "source"))).filter("kept").select("_doc.*")
+    """docs without the rejected ones; columns as they are. Rows are stored once beside their statistics, so that texts are judged in one pass."""
+    stats = store(statistics(packed(docs, "text", "lang", "source")).drop("text"), "statistics")
+    return Estimate(stats).distances(stats).filter("kept").select("_doc.*")
 
 
 def op7_quality_rules(spark, sf_dir):

@@ -178,6 +178,83 @@ def test_outliers_are_found_in_each_group(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(12))
 
 
+def robust_distances(rows):
+    """The squared robust distance of each (text, lang, source), or None: the same estimate by numpy, group by group."""
+    q, count = quality_rules, lambda text, chars: sum(ch in chars for ch in text)
+    facts = []
+    for text, _, _ in rows:
+        w, t = WORD.findall(text or ""), text or ""
+        facts.append((len(w), sum(map(len, w)), count(t, "#*$%&|<>"), count(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(t, "!?.,;:")))
+    words, chars, *others = (sum(f[k] for f in facts) for k in range(5))
+    z = np.array([[np.log((f[1] + 200) / (f[0] + 200 * words / chars)), *[np.sqrt((f[2 + k] + 200 * others[k] / chars) / (f[1] + 200)) for k in range(3)]] for f in facts])
+    sizes = Counter((lang, source) for _, lang, source in rows)
+    own = {k: k[1] if n >= q.LEAST else "*" for k, n in sizes.items()}
+    pooled = Counter()
+    for (lang, source), n in sizes.items():
+        pooled[lang, own[lang, source]] += n
+    group = [(lang, own[lang, source]) if pooled[lang, own[lang, source]] >= q.LEAST else ("*", "*") for _, lang, source in rows]
+    out, floor = [None] * len(rows), np.array(q.FLOOR) ** 2
+
+    def cut(bins, share):
+        return sorted(bins)[int(np.ceil(len(bins) * share)) - 1]
+
+    def moments(x, factor):
+        m = x.mean(axis=0)
+        return m, ((x.T @ x) / len(x) - np.outer(m, m)) * factor + np.diag(floor)
+
+    def far(x, m, c):
+        return (np.linalg.solve(np.linalg.cholesky(c), (x - m).T) ** 2).sum(axis=0)
+
+    for g in set(group):
+        at = [i for i in range(len(rows)) if group[i] == g and facts[i][0]]
+        if len(at) < q.LEAST:
+            continue
+        x = z[at]
+        mid = np.array([(cut(np.floor(c * 2000), 0.5) + 0.5) / 2000 for c in x.T])
+        scale = np.sqrt(np.array([(cut(np.floor(np.abs(c - m) * 2000), 0.5) + 0.5) / 2000 * 1.4826 for c, m in zip(x.T, mid)]) ** 2 + floor)
+        y = (x - mid) / scale
+        tried = []
+        for turned in (None, y / np.sqrt((y**2).sum(axis=1) + 1e-12)[:, None], np.tanh(y)):
+            r = np.eye(4)
+            if turned is not None:
+                c = turned.T @ turned
+                r = c / np.sqrt(np.outer(np.diag(c), np.diag(c))) * 0.99
+                np.fill_diagonal(r, 1)
+            m, c = mid, r * np.outer(scale, scale)
+            for _ in range(q.STEPS):
+                bins = np.floor(np.log(far(x, m, c) + 1e-4) * 64)
+                m, c = moments(x[bins <= cut(bins, q.SHARE)], q.SHARE / q._chi2_cdf(q._chi2_quantile(q.SHARE, 4), 6))
+            tried.append((np.linalg.slogdet(c)[1], len(tried), m, c))
+        _, _, m, c = min(tried, key=lambda t: (round(t[0], 9), t[1]))
+        near = far(x, m, c) <= q._chi2_quantile(0.975, 4)
+        m, c = moments(x[near], 0.975 / q._chi2_cdf(q._chi2_quantile(0.975, 4), 6))
+        for i, d in zip(at, far(x, m, c)):
+            out[i] = d
+    return out
+
+
+def test_outliers_against_numpy(spark):
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(420):
+        text = sentence(rng, int(rng.integers(12, 90))).capitalize() + "."
+        if i % 3 == 0:
+            text = " ".join(w.capitalize() + ("," if rng.random() < 0.3 else "") for w in text.split())
+        if i % 17 == 0:
+            text = " ".join(w + "%&" for w in text.split())
+        lang, source = (("en", "a"), ("en", "b"), ("en", "c"), (None, "a"), ("fr", None), ("de", "x"))[0 if i < 150 else 1 if i < 290 else 2 if i < 310 else 3 if i < 370 else 4 if i < 410 else 5]
+        rows.append((text, lang, source))
+    rows += [("", "en", "a"), (None, "en", "b"), (" ", None, "a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    want = robust_distances(rows)
+    limit = quality_rules._chi2_quantile(1 - quality_rules.TAIL, 4)
+    for i, d in enumerate(want):
+        assert (got[i].distance is None) == (d is None) and (d is None or abs(got[i].distance - d) < 1e-6 * (1 + d))
+        assert got[i].kept == (not got[i].base_failed and (d is None or d <= limit))
+    assert sum(d is not None and d > limit for d in want) > 5 and sum(r.kept for r in got.values()) > 300
+
+
 def test_mixing(spark, docs, nothing):
     assert mixing.op4_mixing.__name__ == "op4_mixing" and mixing.mix(nothing).count() == 0
     assert mixing.mix(docs).columns == docs.columns
