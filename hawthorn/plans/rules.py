@@ -14,17 +14,17 @@ UP, LO = tx.UPPER, tx.LOWER
 
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:
-    """0 and None are the default; then low..high."""
-    return max(low, min(high, int(value or default)))
+    """low..high; the default where none is given."""
+    return max(low, min(high, default if value is None else int(value)))
 
 
 def page_of(df: DataFrame, order: list, page: int, page_size: int | None) -> tuple[DataFrame, dict]:
     """One page and its figures: sizes 5..100 (20 where none is given), pages from 1 to the last."""
-    size = clamp(page_size, 5, 100, 20)
+    size = clamp(page_size or None, 5, 100, 20)  # a size of 0 is none
     total = df.count()
     pages = max(1, math.ceil(total / size))
     at = max(1, min(pages, page))
-    return df.orderBy(*order).offset((at - 1) * size).limit(size), {"total": total, "pages": pages, "page": at, "page_size": size}
+    return df.orderBy(*order).offset((at - 1) * size).limit(size), {"total": total, "pages": pages, "page": at, "page_size": size, "previous": max(1, at - 1), "next": min(pages, at + 1)}
 
 
 def by_status(status: str | None, deleted=None, state=None):
@@ -102,10 +102,10 @@ def next_sequence(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("category")).agg((F.coalesce(F.max("l_linenumber"), F.lit(0)) + 1).cast("int").alias("next_seq"))
 
 
-@query("""SELECT e.event_id, e.event_type, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey ORDER BY e.event_id DESC LIMIT 20""")
+@query("""SELECT e.event_id, e.event_type, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey ORDER BY e.event_id DESC LIMIT 100""")
 def change_history(spark, sf):
     """The latest changes with what they changed; a clamped limit."""
-    return table(spark, sf, "events").join(table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "event_type", "c_name").orderBy(F.desc("event_id")).limit(clamp(0, 1, 100, 20))
+    return table(spark, sf, "events").join(table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "event_type", "c_name").orderBy(F.desc("event_id")).limit(clamp(500, 1, 100, 20))
 
 
 @query("""SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
@@ -123,7 +123,7 @@ def history_view(spark, sf):
 
 
 @query("""SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN '已归档' WHEN 'P' THEN '草稿' END, o_orderstatus) AS label, replace(o_orderpriority, '-', '') AS category,
-CASE WHEN o_orderkey % 4 = 0 THEN '约' || o_orderkey WHEN o_orderkey % 4 = 1 THEN o_orderkey || '–' || (o_orderkey + 5) WHEN o_orderkey % 4 = 2 THEN o_orderkey::VARCHAR ELSE '未指定' END AS target FROM orders""")
+CASE WHEN o_orderkey % 4 = 0 THEN '约' || o_orderkey WHEN o_orderkey % 4 = 1 THEN o_orderkey || '–' || (o_orderkey + 5) WHEN o_orderkey % 4 = 2 THEN o_orderkey::VARCHAR ELSE '未明确' END AS target FROM orders""")
 def label_map(spark, sf):
     """Display labels: known statuses by a dictionary, others as they are; targets in words."""
     labels = F.when(F.col("o_orderstatus") == "F", "已归档").when(F.col("o_orderstatus") == "P", "草稿")

@@ -5,6 +5,7 @@ Files are read by Spark (binaryFile), so any file system that Spark reaches will
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -31,17 +32,43 @@ def _text(node) -> str:
 
 
 def _number(raw: str) -> str:
+    """Whole numbers without a fraction, whatever their size."""
+    if re.fullmatch(r"-?\d+", raw):
+        return str(int(raw))
     value = float(raw)
-    return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
+    return str(int(value)) if value.is_integer() else repr(value)
+
+
+def _date_styles(styles: bytes | None) -> set[int]:
+    """Indexes of cell formats that show dates."""
+    if styles is None:
+        return set()
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in root.iter(f"{MAIN}numFmt")}
+    dates = {*range(14, 23), *range(45, 48), *(k for k, code in own.items() if re.search("[dmyhs]", code, re.I))}
+    formats = root.find(f"{MAIN}cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else []) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _date(raw: str, from_1904: bool) -> str:
+    """A serial number as the text of a date and time; below one day a time of day."""
+    days = float(raw)
+    start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 31 if 0 < days < 60 else 30)
+    if 0 <= days < 1 and not from_1904:
+        return str((datetime.datetime(1900, 1, 1) + datetime.timedelta(seconds=round(days * 86400))).time())
+    return str(start + datetime.timedelta(days=int(days), seconds=round(days % 1 * 86400)))
 
 
 def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of all sheets in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        dates = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{MAIN}workbookPr"))
         shared = [_text(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+        for sheet in book.iter(f"{MAIN}sheet"):
             target = targets[sheet.get(f"{LINK}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             found = []
@@ -58,7 +85,9 @@ def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
                     elif kind == "s":
                         cells[k] = shared[int(value.text)]
                     elif kind == "b":
-                        cells[k] = "TRUE" if value.text == "1" else "FALSE"
+                        cells[k] = "True" if value.text == "1" else "False"
+                    elif kind == "n" and int(c.get("s", 0)) in dates:
+                        cells[k] = _date(value.text, from_1904)
                     else:
                         cells[k] = _number(value.text) if kind == "n" else value.text
                 found.append((int(row.get("r", at)), cells))
@@ -87,13 +116,17 @@ def read_workbook(spark: SparkSession, path: str, sheets: list[str] | None = Non
 def side_by_side(rows: DataFrame, offsets: list[int], width: int) -> DataFrame:
     """Tables that stand side by side in a sheet, one below the other; block tells them apart."""
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.slice("cells", F.lit(o + 1), F.lit(width)).alias("cells")) for i, o in enumerate(offsets)])
-    return rows.select("sheet", "row_no", F.explode(blocks).alias("b")).select("sheet", "row_no", "b.block", "b.cells")
+    keys = [c for c in ("path", "sheet", "row_no") if c in rows.columns]
+    return rows.select(*keys, F.explode(blocks).alias("b")).select(*keys, "b.block", "b.cells")
 
 
 def with_headers(rows: DataFrame) -> DataFrame:
-    """Rows below the first of each sheet, as maps from its header; repeated and blank headers: the first, none."""
-    heads = rows.filter("row_no = 1").select(F.col("sheet").alias("s"), F.col("cells").alias("heads"))
-    body = rows.filter("row_no > 1").join(F.broadcast(heads), F.col("sheet") == F.col("s"))
+    """path, sheet, row_no, cells, fields of the rows below the first of each sheet: fields are a map from the sheet's header.
+
+    Sheets are told apart by book and name. Repeated headers: the first; blank ones: none. Headers are one row a sheet.
+    """
+    heads = rows.filter("row_no = 1").select(F.col("path").alias("_p"), F.col("sheet").alias("_s"), F.col("cells").alias("heads"))
+    body = rows.filter("row_no > 1").join(heads, (F.col("path") == F.col("_p")) & (F.col("sheet") == F.col("_s")))
     pairs = F.filter(F.zip_with("heads", "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda p: p["k"].isNotNull() & (p["k"] != ""))
     first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return body.select("sheet", "row_no", F.map_from_entries(first).alias("fields"))
+    return body.select("path", "sheet", "row_no", "cells", F.map_from_entries(first).alias("fields"))
