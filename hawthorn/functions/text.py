@@ -5,7 +5,9 @@ No Python UDFs, so all of it stays in the JVM and inside whole-stage code.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,9 +43,14 @@ def blank_to_null(c: Column) -> Column:
 
 
 def cell_text(c: Column) -> Column:
-    """A cell's text: null is empty, a whole number given as a float loses its fraction."""
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    return F.regexp_replace(strip(text), r"^(-?\d+)\.0+$", "$1")
+    """A text cell's text: null is empty. What a cell holds as text stays as it is (`1.0` too)."""
+    return F.coalesce(strip(c.cast("string")), F.lit(""))
+
+
+def number_text(c: Column) -> Column:
+    """A number cell's text: a whole number loses its fraction, null is empty."""
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.coalesce(F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string")), F.lit(""))
 
 
 def hash_array(columns: list[Column]) -> Column:
@@ -60,13 +67,24 @@ def strip_tags(c: Column) -> Column:
     return strip(F.regexp_replace(c, "<[^>]+>", ""))
 
 
+def _digits(c: Column) -> Column:
+    """Stripped, full-width digits as ASCII, single underscores between digits gone: as the source system's parser reads numbers."""
+    return F.regexp_replace(F.translate(strip(c), "０１２３４５６７８９", "0123456789"), r"(?<=[0-9])_(?=[0-9])", "")
+
+
 def number(c: Column) -> Column:
-    """A number from text: thousands commas go; anything else that isn't one is null."""
-    return F.replace(strip(c), F.lit(","), F.lit("")).try_cast("double")
+    """A number from text: thousands commas go; anything else that isn't one (a type suffix, a dash) is null."""
+    text = _digits(F.replace(strip(c), F.lit(","), F.lit("")))
+    plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    named = text.rlike(r"(?i)^[+-]?(inf|infinity|nan)$")
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise("")
+    word = F.when(F.lower(text).endswith("nan"), F.lit("NaN")).otherwise(F.concat(sign, F.lit("Infinity")))
+    return F.when(plain, text.try_cast("double")).when(named, word.try_cast("double"))
 
 
 def integer(c: Column) -> Column:
-    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c)).try_cast("int")
+    text = _digits(c)
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
 
 
 def first_case(c: Column, branches: list[tuple[list[str], str]], default: str) -> Column:
@@ -98,16 +116,55 @@ def join_present(sep: str, *parts: Column) -> Column:
 
 
 def normal_name(c: Column) -> Column:
-    """A name without bracketed text, punctuation and space, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"[\(（][^\)）]*[\)）]", ""), r"[\s\p{Punct}·、，。]+", ""))
+    """A name without bracketed text, white space and the punctuation ·・,，。:：-; case stays."""
+    return F.regexp_replace(F.regexp_replace(c, r"[（(].*?[）)]", ""), r"(?U)[\s·・,，。:：-]", "")
+
+
+def unescape_html(c: Column) -> Column:
+    """HTML character references as the characters they stand for: named ones (also without semicolon, the longest name that fits) and numeric ones."""
+    pattern = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # numbers 128 to 159 stand for what code page 1252 has there
+    page = F.from_json(F.lit(json.dumps({str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)})), "map<string,string>")
+
+    def numeric(ref):
+        digits = F.regexp_replace(ref, "[&#xX;]", "")
+        code = F.when(F.lower(ref).startswith("&#x"), F.conv(F.right(F.concat(F.lit("0"), digits), F.lit(12)), 16, 10)).otherwise(digits).try_cast("bigint")
+        bad = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (code == 0)
+        gone = code.between(1, 8) | code.between(0xE, 0x1F) | (code == 0x7F) | (code == 0xB) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(bad, F.lit("\ufffd")).when(code.between(128, 159), F.element_at(page, code.cast("string"))).when(gone, F.lit("")).otherwise(char)
+
+    def named(ref):
+        name = ref.substr(F.lit(2), F.length(ref) - 1)
+        sizes = F.sequence(F.length(name), F.lit(2), F.lit(-1))
+        fits = F.filter(F.transform(sizes, lambda n: F.concat(F.element_at(names, name.substr(F.lit(1), n)), name.substr(n + 1, F.length(name)))), lambda x: x.isNotNull())
+        return F.coalesce(F.element_at(names, name), F.when(F.length(name) >= 2, F.get(fits, F.lit(0))), ref)
+
+    refs = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    chars = F.transform(refs, lambda r: F.when(F.startswith(r, F.lit("&#")), numeric(r)).otherwise(named(r)))
+    parts = F.zip_with(F.split(c, pattern, -1), chars, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
 
 
 def clean_chat(c: Column) -> Column:
-    """Without a trailing <small> note; the five named entities and numeric apostrophes are unescaped."""
-    text = strip(F.regexp_replace(c, r"(?s)\s*<small>.*?</small>\s*\z", ""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Without a trailing <small> note, character references unescaped, stripped."""
+    return strip(unescape_html(F.regexp_replace(c, r"(?is)\s*<small[^>]*>.*?</small>\s*\z", "")))
+
+
+def string_list(v: Column) -> Column:
+    """A variant as a list of texts: null and other kinds are empty, a text is one (stripped), of an array all that aren't blank."""
+    kind = F.schema_of_variant(v)
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("None")))
+    text = strip(F.try_variant_get(v, "$", "string"))
+    none = F.array().cast("array<string>")
+    return F.when(F.startswith(kind, F.lit("ARRAY")), F.filter(items, lambda x: strip(x) != "")).when((kind == "STRING") & (text != ""), F.array(text)).otherwise(none)
+
+
+def dedup_key(category: Column, subcategory: Column, sets: Column, parameters: Column) -> Column:
+    """What identifies a rule whatever its values: category, subcategory, sorted sets (set_name, subset_name, element) and sorted parameter names."""
+    part = lambda x: F.concat_ws("/", *[F.coalesce(x[f], F.lit("")) for f in ("set_name", "subset_name", "element")])
+    return F.concat_ws("|", category, subcategory, F.array_join(F.array_sort(F.transform(sets, part)), "+"), F.array_join(F.array_sort(parameters), "+"))
 
 
 def escape_html(c: Column) -> Column:
@@ -127,7 +184,7 @@ def target_display(kind: Column, value: Column, low: Column, high: Column) -> Co
     span = F.concat(low.cast("string"), F.lit("–"), high.cast("string"))
     return (
         F.when(kind == "approx_interval", F.concat(F.lit("约"), span)).when(kind == "interval", span)
-        .when(kind == "approx", F.concat(F.lit("约"), value.cast("string"))).when(kind.isin("exact", "advisory_exact"), value.cast("string")).otherwise("未指定")
+        .when(kind == "approx", F.concat(F.lit("约"), value.cast("string"))).when(kind.isin("exact", "advisory_exact"), value.cast("string")).otherwise("未明确")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.diff import classify, keep_first
+from ..sources.files import export_rows
 from .registry import query, table
 
 
@@ -63,12 +64,13 @@ def ffill_section(spark, sf):
     return table(spark, sf, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
-SELECT l_orderkey, bool_and(l_linenumber = k) AS contiguous, count(*) AS n FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 8 - l_linenumber ELSE l_linenumber END AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
+SELECT l_orderkey, bool_and(seq = k) AS contiguous, count(*) AS n FROM r GROUP BY 1""")
 def seq_contiguity(spark, sf):
-    """Whether a sheet's sequence is 1..n in row order."""
+    """Whether a sheet's sequence numbers are 1..n in the order of its rows; every fifth sheet numbers them backwards."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") == F.row_number().over(w)).alias("ok"))
+    seq = F.when(F.col("l_orderkey") % 5 == 0, 8 - F.col("l_linenumber")).otherwise(F.col("l_linenumber"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", (seq == F.row_number().over(w)).alias("ok"))
     return rows.groupBy("l_orderkey").agg(F.bool_and("ok").alias("contiguous"), F.count("*").alias("n"))
 
 
@@ -82,10 +84,16 @@ def expected_counts(spark, sf):
     return out.filter("found <> expected")
 
 
-@query("""SELECT l_orderkey, l_linenumber, min(l_partkey) AS first_at, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("""WITH o AS (SELECT 'R-' || (c_custkey % 997) AS rule_no, c_custkey AS row_no, (c_custkey * 7919) % 100003 AS ordinal FROM customer),
+f AS (SELECT rule_no, row_no, ordinal, first_value(row_no) OVER w AS first_row, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY rule_no ORDER BY ordinal))
+SELECT rule_no, row_no, first_row FROM f WHERE k > 1""")
 def dup_location(spark, sf):
-    """Keys that occur more than once, with where they first do."""
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("first_at"), F.count("*").alias("n")).filter("n > 1")
+    """Repeats of a key in row order, each with the row where the key first stands; rows come in an order of their own, not that of their numbers."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("R-"), (k % 997).cast("string")).alias("rule_no"), k.alias("row_no"), (k * 7919 % 100003).alias("ordinal"))
+    first = rows.groupBy(F.col("rule_no").alias("f_no")).agg(F.min(F.struct("ordinal", "row_no")).alias("first"))
+    both = rows.join(first, F.col("rule_no") == F.col("f_no")).filter(F.col("ordinal") > F.col("first.ordinal"))
+    return both.select("rule_no", "row_no", F.col("first.row_no").alias("first_row"))
 
 
 @query("""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 AND role IN ('user', 'assistant') AND trim(text) <> ''""")
@@ -132,12 +140,15 @@ def manifest_orphan(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").filter("lang = 'en'"), "doc_id", "left_anti").select(F.lit("orphan").alias("side"), "doc_id")
 
 
-@query("""SELECT doc_id, source, coalesce(quality::VARCHAR, '') AS quality, coalesce(toxic::VARCHAR, '') AS toxic FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""WITH a AS (SELECT doc_id, quality, toxic, 0 AS ordinal FROM labels UNION ALL SELECT doc_id, 1 - quality, NULL, 1 FROM labels WHERE doc_id % 3 = 0),
+l AS (SELECT doc_id, arg_max({'q': quality, 't': toxic}, ordinal) AS a FROM a GROUP BY 1)
+SELECT doc_id, source, coalesce(a.q::VARCHAR, '') AS quality, coalesce(a.t::VARCHAR, '') AS toxic FROM documents LEFT JOIN l USING (doc_id)""")
 def export_left_default(spark, sf):
-    """Rules with their audit columns, blank where there is no record; the last of repeated records counts."""
-    audit = table(spark, sf, "labels").groupBy("doc_id").agg(F.max_by(F.struct("quality", "toxic"), F.struct("quality", "toxic")).alias("a"))
-    text = lambda c: F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")).alias(c)
-    return table(spark, sf, "documents").select("doc_id", "source").join(audit, "doc_id", "left").select("doc_id", "source", text("quality"), text("toxic"))
+    """Rules with their audit columns, blank where there is no record; of repeated records the last in order counts, whatever its values."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    again = labels.filter("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    audit = labels.withColumn("ordinal", F.lit(0)).unionByName(again.withColumn("ordinal", F.lit(1)))
+    return export_rows(table(spark, sf, "documents"), audit, "doc_id", ["doc_id", "source"], ["quality", "toxic"], F.col("ordinal"))
 
 
 @query("""SELECT l_orderkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_linenumber, l_suppkey, l_partkey, l_quantity) AS r FROM lineitem) WHERE r = 1""")

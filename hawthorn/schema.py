@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 #: Sheet and knowledge type of each category, with the expected number of rules.
 CATEGORIES = [
@@ -33,13 +32,8 @@ MODES = ["direct", "calculated", "summarized", "missing", "conflict", "missing_t
 PHASES = ["table_first", "document_supplement"]
 PRIORITIES = ["P1", "P2", "P3", "P4", "P5"]
 
-RAW_ROW = T.StructType([T.StructField("sheet", T.StringType()), T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))])
-
-RULE = T.StructType(
-    [T.StructField("sequence_no", T.IntegerType())]
-    + [T.StructField(f, T.StringType()) for f in FIELDS[1:]]
-    + [T.StructField("category_code", T.StringType()), T.StructField("source_sheet", T.StringType()), T.StructField("source_row", T.IntegerType()), T.StructField("content_hash", T.StringType())]
-)
+FORBIDDEN_KEYS = ["type", "category", "subject", "predicate", "source", "provenance", "confidence", "extraction_status", "notes", "subcategory"]
+DEMO_TEXT, DEMO_ELEMENT = ["DEMO", "格式示例", "非现场已核实规则"], ["DEMO"]
 
 
 def category_spec(spark: SparkSession) -> DataFrame:
