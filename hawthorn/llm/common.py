@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory of this Python process back: idle workers stay, and would hold what their last task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to give back this way
+        pass
+
+
 def store_by(df: DataFrame, label: str, keys: list[str], codec: str = "snappy") -> DataFrame:
     """Like store(), laid out in buckets by keys, as many as there are shuffle partitions: joins and groupings by keys need no shuffle.
 
