@@ -19,24 +19,8 @@ def classify(new: DataFrame, old: DataFrame, key: str, digest: str = "content_ha
     return new.join(before, F.col(key) == F.col("_key"), "left").withColumn("action", action).drop("_key", "_digest", "_gone")
 
 
-def counters(actions: DataFrame, allowed: bool) -> DataFrame:
-    """One row: inserted, updated, unchanged, conflicts and status; unchanged_legacy counts new rows too where there are conflicts."""
-    n = lambda a: F.count_if(F.col("action") == a)
-    blocked = (n("archived_conflict") > 0) | ((n("update") > 0) & F.lit(not allowed))
-    return actions.agg(
-        n("insert").alias("inserted"), n("update").alias("updated"), n("unchanged").alias("unchanged"), n("archived_conflict").alias("conflicts"),
-        (F.count("*") - n("update")).alias("unchanged_legacy"), F.when(blocked, "conflict").otherwise("success").alias("status"),
-    )
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by order: a minimum carrying its row, combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
     return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
-
-
-def sides_only(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys of one side only, both ways: key, side."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))

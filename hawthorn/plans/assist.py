@@ -59,6 +59,15 @@ def provider_norm(spark, sf):
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN d.source ELSE '' END AS url FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)""")
 def grounding(spark, sf):
-    """A link is kept only where its evidence is known."""
+    """A link is kept only where it is among the search results."""
     known = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("k")).distinct()
     return table(spark, sf, "documents").join(known, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.when(F.col("k").isNotNull(), F.col("source")).otherwise("").alias("url"))
+
+
+@query("""SELECT DISTINCT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)""")
+def grounded_names(spark, sf):
+    """A named entity is kept only with known evidence: of an allowed place, and with a source that says so."""
+    allowed = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("k"))
+    said = table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("e"))
+    named = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return named.join(allowed, F.col("c_nationkey") == F.col("k"), "left_semi").join(said, F.col("o_orderkey") == F.col("e"), "left_semi").select("o_orderkey", "c_name").distinct()

@@ -74,14 +74,15 @@ def seq_contiguity(spark, sf):
     return rows.groupBy("l_orderkey").agg(F.bool_and("ok").alias("contiguous"), F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT r_name, (r_regionkey + 4)::BIGINT AS expected FROM region), c AS (SELECT n_regionkey, count(*) AS found FROM nation GROUP BY 1)
-SELECT r_name, expected, coalesce(found, 0)::BIGINT AS found FROM region JOIN w USING (r_name) LEFT JOIN c ON r_regionkey = n_regionkey WHERE coalesce(found, 0) <> expected""")
+@query("""WITH c AS (SELECT n_regionkey, count(*) AS found FROM nation GROUP BY 1), s AS (SELECT r_name AS sheet, (r_regionkey + 4)::BIGINT AS expected, coalesce(found, 0)::BIGINT AS found FROM region LEFT JOIN c ON r_regionkey = n_regionkey)
+SELECT * FROM s WHERE found <> expected UNION ALL SELECT 'total', sum(expected)::BIGINT, sum(found)::BIGINT FROM s HAVING sum(expected) <> sum(found)""")
 def expected_counts(spark, sf):
-    """Sheets whose number of rows isn't the expected one."""
-    c = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("found"))
-    spec = table(spark, sf, "region").select("r_name", "r_regionkey", (F.col("r_regionkey") + 4).cast("long").alias("expected"))
-    out = spec.join(c, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_name", "expected", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
-    return out.filter("found <> expected")
+    """Sheets whose number of rows isn't the expected one, and the total where it isn't."""
+    c = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    spec = table(spark, sf, "region").select(F.col("r_name").alias("sheet"), "r_regionkey", (F.col("r_regionkey") + 4).cast("long").alias("expected"))
+    sheets = spec.join(c, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("sheet", "expected", F.coalesce("n", F.lit(0)).cast("long").alias("found"))
+    total = sheets.agg(F.lit("total").alias("sheet"), F.sum("expected").alias("expected"), F.sum("found").alias("found"))
+    return sheets.unionByName(total).filter("found <> expected")
 
 
 @query("""WITH o AS (SELECT 'R-' || (c_custkey % 997) AS rule_no, c_custkey AS row_no, (c_custkey * 7919) % 100003 AS ordinal FROM customer),
@@ -159,10 +160,14 @@ def authority_pick(spark, sf):
     return keep_first(rows, ["l_orderkey"], ["rank", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"]).select("l_orderkey", "l_suppkey", "l_quantity")
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
-SELECT o_custkey, o_orderkey, rank, coalesce(c_mktsegment, 'none') AS segment FROM r JOIN customer ON o_custkey = c_custkey WHERE rank <= 5 AND o_orderkey % 3 <> 0""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice END AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+SELECT r.o_custkey, o_orderkey, rank, c_mktsegment AS segment, coalesce(score, b.base, 0) AS score FROM r JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS base FROM customer WHERE c_nationkey % 3 <> 0) b ON b.k = r.o_custkey WHERE rank <= 5 AND o_orderkey % 3 <> 0 AND c_custkey % 11 <> 0""")
 def rerank_join(spark, sf):
-    """Top five by the model's order; the rank is given before unmatched ones drop, so it may have holes."""
+    """Top five by the model's order with their candidates: the rank is given before unmatched ones drop, so it may have holes; a score that the model lacks is the heuristic's, or 0."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    r = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 5")
-    return r.filter("o_orderkey % 3 <> 0").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "rank", F.coalesce("c_mktsegment", F.lit("none")).alias("segment"))
+    score = F.when(F.col("o_orderkey") % 4 != 1, F.col("o_totalprice"))
+    r = table(spark, sf, "orders").select("o_custkey", "o_orderkey", score.alias("own"), F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 5").filter("o_orderkey % 3 <> 0")
+    customers = table(spark, sf, "customer")
+    base = customers.filter("c_nationkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("base"))
+    known = r.join(customers.filter("c_custkey % 11 <> 0").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return known.join(base, F.col("o_custkey") == F.col("k"), "left").select("o_custkey", "o_orderkey", "rank", F.col("c_mktsegment").alias("segment"), F.coalesce("own", "base", F.lit(0.0)).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import assist, dashboard, etl, gaps, rules, store, validate  # noqa: F401
+from .plans import assist, audit, dashboard, etl, extract, gaps, rules, store, validate  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

@@ -59,8 +59,8 @@ def _date(raw: str, from_1904: bool) -> str:
     return str(start + datetime.timedelta(days=int(days), seconds=round(days % 1 * 86400)))
 
 
-def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row number, cells) of all sheets in order."""
+def parse(content: bytes) -> Iterator[tuple[str, int, int, list[str | None], list[str | None]]]:
+    """(sheet, its place, row number, cells, their kinds) of all sheets in order; kinds are n, s, b and d for numbers, texts, booleans and dates."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         dates = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
@@ -68,45 +68,49 @@ def parse(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
         from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{MAIN}workbookPr"))
         shared = [_text(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in book.iter(f"{MAIN}sheet"):
+        for place, sheet in enumerate(book.iter(f"{MAIN}sheet")):
             target = targets[sheet.get(f"{LINK}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             found = []
             for at, row in enumerate(ElementTree.fromstring(z.read(path)).iter(f"{MAIN}row"), 1):
                 cells: list[str | None] = []
+                kinds: list[str | None] = []
                 for c in row.iter(f"{MAIN}c"):
                     k = _column(c.get("r")) if c.get("r") else len(cells)
                     cells += [None] * (k + 1 - len(cells))
+                    kinds += [None] * (k + 1 - len(kinds))
                     kind, value = c.get("t", "n"), c.find(f"{MAIN}v")
                     if kind == "inlineStr":
-                        cells[k] = _text(c)
+                        cells[k], kinds[k] = _text(c), "s"
                     elif value is None or value.text is None:
                         cells[k] = None
                     elif kind == "s":
-                        cells[k] = shared[int(value.text)]
+                        cells[k], kinds[k] = shared[int(value.text)], "s"
                     elif kind == "b":
-                        cells[k] = "True" if value.text == "1" else "False"
+                        cells[k], kinds[k] = "True" if value.text == "1" else "False", "b"
                     elif kind == "n" and int(c.get("s", 0)) in dates:
-                        cells[k] = _date(value.text, from_1904)
+                        cells[k], kinds[k] = _date(value.text, from_1904), "d"
                     else:
-                        cells[k] = _number(value.text) if kind == "n" else value.text
-                found.append((int(row.get("r", at)), cells))
-            width = max((len(c) for _, c in found), default=0)
-            for number, cells in found:  # a sheet's rows are as wide as its widest
-                yield sheet.get("name"), number, cells + [None] * (width - len(cells))
+                        cells[k], kinds[k] = (_number(value.text), "n") if kind == "n" else (value.text, "s")
+                found.append((int(row.get("r", at)), cells, kinds))
+            width = max((len(c) for _, c, _ in found), default=0)
+            for number, cells, kinds in found:  # a sheet's rows are as wide as its widest
+                yield sheet.get("name"), place, number, cells + [None] * (width - len(cells)), kinds + [None] * (width - len(kinds))
+
+
+_SCHEMA = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("sheet_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("kinds", pa.list_(pa.string()))])
 
 
 def _rows(batches):
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = list(parse(content))
-            cols = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string()))], ["path", "sheet", "row_no", "cells"])
+            found = [(name, *row) for row in parse(content)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
 
 def read_workbook(spark: SparkSession, path: str, sheets: list[str] | None = None, first_row: int = 1, last_row: int | None = None) -> DataFrame:
-    """path, sheet, row_no, cells of workbooks; rows from first_row to last_row of the sheets asked for (all)."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows, "path string, sheet string, row_no int, cells array<string>")
+    """path, sheet, sheet_no, row_no, cells, kinds of workbooks; rows from first_row to last_row of the sheets asked for (all)."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows, "path string, sheet string, sheet_no int, row_no int, cells array<string>, kinds array<string>")
     rows = rows.filter(F.col("row_no") >= first_row)
     if last_row:
         rows = rows.filter(F.col("row_no") <= last_row)

@@ -10,7 +10,7 @@ from hawthorn.functions import text as tx
 from hawthorn.operators.coverage import gaps
 from hawthorn.operators.validation import ORDER, rule_issues, summary, validate
 from hawthorn.sources.files import (
-    audit_records, broken_files, catalog_files, fingerprints, index_of, inventory, json_rules, markdown_table, rules_of, statuses, write_partitioned, write_rules,
+    audit_records, broken_files, catalog_files, fingerprints, index_of, inventory, json_lines, json_rules, markdown_table, rules_of, statuses, write_csv_by, write_partitioned, write_rules,
 )
 
 GOOD = {"rule_id": "r1", "description": "d", "sets": [{"set_name": "U", "subset_name": None, "element": "CDU"}], "parameters": {"MAX": {"value": 0, "unit": None}, "ON": {"value": True, "unit": "x"}}}
@@ -179,6 +179,10 @@ def test_files(spark, tmp_path):
     assert json.loads(text) == {"meta": {"made": "now", "rule_count": 3}, "rules": [{"a": "格"}, {}, {}]} and '  "meta"' in text and "格" in text
     with pytest.raises(ValueError, match="more than 2"):
         write_rules(some, f"{tmp_path}/whole.json", {}, ["c"], most=2)
+    write_csv_by(some, f"{tmp_path}/csv", "c")
+    assert {(r.c, r.s) for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()} == {("x", "p"), ("x", "q"), ("y", "p")}
+    assert json_lines(some.filter("s = 'q'")) == ['{"c": "x", "s": "q", "doc": "{}"}']
+    assert _one(spark, tx.blank_to_null(F.lit(" 　"))) is None and _one(spark, tx.strip_tags(F.lit(" <b>x</b> "))) == "x"
     counts = index_of(spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "p")], "c string, s string"), "c", "s")
     assert {(r.c, r.s): r.rules for r in counts.collect()} == {("x", "p"): 1, ("x", "q"): 1, ("y", "p"): 1, ("x", None): 2, ("y", None): 1}
     assert markdown_table(counts.filter("s IS NULL").orderBy("c"), ["c", "rules"]) == "| c | rules |\n|---|---|\n| x | 2 |\n| y | 1 |\n"
