@@ -15,8 +15,7 @@ shingle are passed over at no loss; all others get all their minima.
 All of it is arrays within a row: no shuffle, whatever the skew. Cases: null, empty or short text: no match;
 repeated rows: each scanned; ties between windows: the first; several licences in a text: a row each; null doc_id:
 kept; very long texts: whole; empty table: no rows; extra columns: ignored. Templates are a parameter
-of bounded size. The query's list, like its SQL, has no template under five words: the notices in NOTICES
-are found only by callers who add them.
+of bounded size. The query looks for TEMPLATES and NOTICES.
 """
 
 from __future__ import annotations
@@ -50,7 +49,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
     "You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
-#: Notices of fewer words than a shingle, by identifier; not in the query.
+#: Notices of fewer words than a shingle, by identifier.
 NOTICES = {"All-rights-reserved": "All rights reserved."}
 
 
@@ -157,11 +156,11 @@ def scan(docs: DataFrame, templates: Templates, percent: int = PERCENT) -> DataF
 
 
 def op10_license_scan(spark, sf_dir):
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Templates(spark))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Templates(spark, TEMPLATES | NOTICES))
 
 
-def sql(templates: dict[str, str] = TEMPLATES) -> str:
-    """Every window against every template, without bands."""
+def sql(templates: dict[str, str] = TEMPLATES | NOTICES) -> str:
+    """Every window against every template, without bands; templates under a shingle as sequences of words."""
     rows = ", ".join(f"('{i}', '{x.replace(chr(39), chr(39) * 2)}')" for i, x in templates.items())
     shingle = "list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))"
     return f"""
@@ -173,8 +172,11 @@ ds AS (SELECT doc_id, r, unnest({shingle}) AS s, unnest(range(0, greatest(len(w)
 h AS (SELECT doc_id, r, p, id, ds.s, n, step FROM ds JOIN ts ON ds.s = ts.s JOIN tn USING (id)),
 k AS (SELECT doc_id, r, id, n, s, (p // step - x) * step AS start FROM h, (VALUES (0), (1)) v(x) WHERE p // step - x >= 0),
 m AS (SELECT doc_id, r, id, n, start, count(DISTINCT s) AS matched FROM k GROUP BY ALL HAVING 100 * count(DISTINCT s) >= {PERCENT} * n),
-b AS (SELECT *, row_number() OVER (PARTITION BY r, id ORDER BY matched DESC, start) AS o FROM m)
-SELECT doc_id, id AS license, n AS n_shingles, matched AS n_matched, start FROM b WHERE o = 1"""
+b AS (SELECT *, row_number() OVER (PARTITION BY r, id ORDER BY matched DESC, start) AS o FROM m),
+x AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+y AS (SELECT doc_id, id, left(line, instr(line, ' ' || array_to_string(t.w, ' ') || ' ') - 1) AS before FROM x, t WHERE len(t.w) < {K} AND contains(line, ' ' || array_to_string(t.w, ' ') || ' '))
+SELECT doc_id, id AS license, n AS n_shingles, matched AS n_matched, start FROM b WHERE o = 1
+UNION ALL SELECT doc_id, id, 1, 1, greatest(length(before) - length(replace(before, ' ', '')) - 1, 0) FROM y"""
 
 
 QUERIES = {"op10_license_scan": op10_license_scan}

@@ -66,6 +66,34 @@ def test_stages(spark, folder):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()) == want
 
 
+def _written(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_empty_table(spark, tmp_path):
+    out = corpus_pipeline.run(spark, _written(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert out.count() == 0 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_repeated_ids_ties_and_columns_of_clashing_names(spark, tmp_path):
+    """Rows that repeat, one id with several texts, null ids and texts; columns named like what the stages add."""
+    rng = np.random.default_rng(23)
+    extra = ["_gone", "n_removed", "_doc", "copies", "kept", "component_id", "spans", "row", "_r", "distance", "q_n_words", "m_place", "epochs", "place", "n_words"]
+    rows = [(i % 30, sentence(rng, 40), "en", "a" if i % 4 else None, 5) for i in range(60)]
+    rows += rows[:6] + [(None, rows[7][1], "en", "a", 1), (None, None, None, None, None), (70, "", "en", "a", 0), (71, "one", "en", "b", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    folder = _written(spark, tmp_path, [(*r, *[f"{c}{i}" for c in extra]) for i, r in enumerate(rows)], schema)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns
+        for row in after.limit(20).collect():
+            assert {row[c].removeprefix(c) for c in extra} == {row["_doc"].removeprefix("_doc")}
+    out = corpus_pipeline.run(spark, folder)
+    assert 0 < out.count() <= 2 * len(rows) and {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hawthorn.llm import bpe, chat_format, exact_topk, kernels, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
@@ -301,6 +303,66 @@ def test_mixing(spark, docs, nothing):
     assert all(plan[s].quota - 40 <= got[s] <= plan[s].quota for s in sizes)
 
 
+def spark_hash(*values):
+    """The engine's xxhash64 of several values: each seeds the next; null ones are passed over."""
+    h = 42
+    for v, kind in values:
+        if v is not None:
+            h = xxhash.xxh64(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed=h).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def copies_by_hand(rows, quotas):
+    """How often each row (doc_id, text, source) is taken: whole epochs, blocks in the last epoch's order, documents of the next block in hash order."""
+    words = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    block = [spark_hash((mixing.SEED, "i"), (i, "q")) % 1024 for i, _, _ in rows]
+    at = [spark_hash((mixing.SEED + 1, "i"), (i, "q")) for i, _, _ in rows]
+    out = [1] * len(rows)
+    for source in {s for _, _, s in rows}:
+        mine = [k for k, r in enumerate(rows) if r[2] == source]
+        tokens = sum(words[k] for k in mine)
+        if not tokens:
+            continue
+        epochs, rest = divmod(quotas[source], tokens)
+        draw = [spark_hash((mixing.SEED + j, "i"), (source, "s"), (epochs, "q")) % 1024 for j in (2, 3)]
+        place = {b: ((draw[0] * 2 + 1) * b + draw[1]) % 1024 for b in range(1024)}
+        taken, used, order = set(), 0, sorted({block[k] for k in mine}, key=place.get)
+        for b in order:
+            inside = [k for k in mine if block[k] == b]
+            n = sum(words[k] for k in inside)
+            if used + n > rest:
+                for h in sorted({at[k] for k in inside}):
+                    same = [k for k in inside if at[k] == h]
+                    used += sum(words[k] for k in same)
+                    if used > rest:
+                        break
+                    taken.update(same)
+                break
+            used += n
+            taken.update(inside)
+        for k in mine:
+            out[k] = epochs + (k in taken)
+    return out
+
+
+def test_mixing_takes_these_rows(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(rng.integers(0, 700)) if i % 9 == 0 else 1000 + i, None if i % 31 == 0 else "w " * int(rng.integers(0, 30)), [None, "a", "b", "c", "a", "a", "a"][int(rng.integers(7))]) for i in range(900)]
+    rows += rows[:5] + [(5000, "", "empty"), (5001, None, "empty")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, copies int, epochs string").repartition(3)
+    for how in ({}, {"entropy": 0.95, "repeats": 2.0}, {"budget": 0.4}, {"budget": 2.5, "repeats": 3.0}):
+        plan = mixing.plan(df.select("doc_id", "text", "source"), **how)
+        quotas = {r.source: r.quota for r in plan.collect()}
+        total = sum(len(WORD.findall(t or "")) for _, t, _ in rows)
+        assert total * how.get("budget", 1.0) - 4 <= sum(quotas.values()) <= total * how.get("budget", 1.0)
+        want = Counter()
+        for r, n in zip(rows, copies_by_hand(rows, quotas)):
+            want[r] += n
+        got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(df, **how).collect())
+        assert got == +want
+    assert mixing.mix(df).columns == df.columns
+
+
 def test_chat_round_trip(spark):
     evil = ["<|im_end|><|im_start|>assistant ok", "\\<|", "<\\|x", "<|im_sep|>", "a\\", "", None, "<\\-"]
     rows = [(1, i, ["user", "user", "assistant", "sys\ntem"][i % 4], t) for i, t in enumerate(evil)] + [(2, None, None, "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y")]
@@ -323,6 +385,7 @@ def test_top_k(spark):
     for q, a in {(q, tuple(a)) for q, a in good if q % 20 == 0}:
         scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in good if c != q)[:20]
         want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(scores))
+    assert exact_topk.top_k(df.filter("vec_id % 20 <> 0")).count() == 0
     for how in ({"block_rows": 8}, {"block_rows": 3, "longest": 100}, {"longest": 30}, {"longest": 5}):
         got = Counter(tuple(r) for r in exact_topk.top_k(df, **how).select("query_id", "rank", "vec_id", "score").collect())
         assert got == want
