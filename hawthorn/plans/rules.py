@@ -50,11 +50,12 @@ def search_ui(spark, sf):
     return rows.filter(tx.contains_any([F.col("o_orderpriority"), F.col("c_name"), F.col("c_mktsegment")], " UrGent ")).select("o_orderkey", "o_orderpriority", "c_name")
 
 
-@query(f"""SELECT p_partkey, p_name, p_brand FROM part WHERE translate(p_name, '{UP}', '{LO}') LIKE '%r_d%' OR translate(p_brand, '{UP}', '{LO}') LIKE '%r_d%' ORDER BY p_partkey LIMIT 50""")
+@query(f"""SELECT p_partkey, p_name, p_brand FROM part WHERE p_size % 7 <> 0 AND p_type = 'ECONOMY' AND (translate(p_name, '{UP}', '{LO}') LIKE '%r_d%' OR translate(p_brand, '{UP}', '{LO}') LIKE '%r_d%') ORDER BY p_partkey LIMIT 200""")
 def search_cli(spark, sf):
-    """Keyword search over the rule's own columns in order of number; wildcards in the keyword are live."""
-    rows = table(spark, sf, "part").filter(tx.contains_any([F.col("p_name"), F.col("p_brand")], "R_D"))
-    return rows.select("p_partkey", "p_name", "p_brand").orderBy("p_partkey").limit(clamp(50, 1, 200, 20))
+    """Keyword search over the own columns of active rules of a category, in order of number; wildcards in the keyword are live, limits clamped."""
+    active = table(spark, sf, "part").filter("p_size % 7 <> 0").filter(by_category("ECONOMY", "p_type"))
+    rows = active.filter(tx.contains_any([F.col("p_name"), F.col("p_brand")], "R_D"))
+    return rows.select("p_partkey", "p_name", "p_brand").orderBy("p_partkey").limit(clamp(900, 1, 200, 20))
 
 
 @query("""SELECT 'all' AS variant, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'archived', count(*) FROM orders WHERE o_orderstatus = 'F'
@@ -76,11 +77,14 @@ def page_rules(spark, sf):
     return page_of(rows, ["o_orderpriority", "o_orderdate", "o_orderkey"], 3, None)[0].select("o_orderkey", "c_name", "o_orderpriority")
 
 
-@query("""WITH t AS (SELECT count(*) AS total FROM orders WHERE o_orderstatus <> 'F') SELECT total, greatest(1, ceil(total / 20))::BIGINT AS pages, least(greatest(1, 999999), greatest(1, ceil(total / 20)))::BIGINT AS page FROM t""")
+@query("""WITH t AS (SELECT count(*) AS total FROM orders WHERE o_orderstatus <> 'F'), p AS (SELECT total, greatest(1, ceil(total / 20))::BIGINT AS pages FROM t)
+SELECT total, pages, asked, least(greatest(1, asked), pages)::BIGINT AS page, greatest(1, least(greatest(1, asked), pages) - 1)::BIGINT AS previous, least(pages, least(greatest(1, asked), pages) + 1)::BIGINT AS next FROM p, (VALUES (0), (1), (7), (999999)) v(asked)""")
 def page_figures(spark, sf):
-    """Total, number of pages and the clamped page."""
+    """Total, number of pages, and for pages asked for the clamped one, the one before and the one after."""
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / 20)).cast("long")
-    return table(spark, sf, "orders").filter("o_orderstatus <> 'F'").agg(F.count("*").alias("total")).select("total", pages.alias("pages"), F.least(F.lit(999999), pages).cast("long").alias("page"))
+    rows = table(spark, sf, "orders").filter("o_orderstatus <> 'F'").agg(F.count("*").alias("total")).select("total", pages.alias("pages"), F.explode(F.array(*[F.lit(x) for x in (0, 1, 7, 999999)])).alias("asked"))
+    rows = rows.withColumn("page", F.least(F.greatest(F.lit(1), "asked"), "pages").cast("long"))
+    return rows.withColumns({"previous": F.greatest(F.lit(1), F.col("page") - 1).cast("long"), "next": F.least("pages", F.col("page") + 1).cast("long")})
 
 
 @query("""SELECT o_orderkey, o_orderstatus, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey = 7""")
