@@ -42,7 +42,9 @@ from . import kernels
 from .common import forget, store, store_by
 
 _U = np.uint64
-LENGTH, GRAM, BATCHES = 100, 40, 4
+LENGTH, GRAM = 100, 40
+#: Batches that a table is taken in: so many at least, and as many more as its bytes ask for. Results don't depend on it.
+BATCHES, BATCH_BYTES = 4, 64 << 30
 #: Bytes of one text handled at a time; below 2**24.
 PIECE = 1_000_000
 SHIFT = 1024
@@ -282,12 +284,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return store(docs.orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """row, spans (packed: start * 1024 + windows) of all windows that also start earlier.
 
     docs: row, text, laid out by row (store_by), so that texts meet what is asked of them without a shuffle.
     """
     spark = docs.sparkSession
+    batches = max(BATCHES, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes))
     cuts = docs.agg(F.percentile_approx("row", [i / batches for i in range(1, batches)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     family, found = SuffixFamily(spark, length, gram), []

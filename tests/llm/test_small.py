@@ -140,10 +140,16 @@ def test_suffix_levels_merge(spark, docs):
     family = suffix_dedup.SuffixFamily(spark)
     for k in range(4):
         family.ingest(rows.filter(F.col("row") % 4 == k))
-    assert [rank for rank, _ in family.levels] == [2]
+        assert [rank for rank, _ in family.levels] == [[0], [1], [1, 0], [2]][k]
     family.close()
 
 
+def test_suffix_batches_by_size(spark, docs, texts):
+    """As many batches as the bytes ask for, and the same results."""
+    got = {r.doc_id: r for r in suffix_dedup.digests(docs, batch_bytes=30_000).collect()}
+    assert [(got[i].n_removed, got[i].kept_sha256) for i in range(len(texts))] == [(b, d) for _, b, _, d in brute_repeats(texts)]
+
+
 def test_bpe(spark, docs, texts, nothing):
     table = bpe.vocabulary("")
     enc = bpe.encoder("", "")
