@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import forget, store, store_by, trim
+from .common import scratch, store_by, trim
 
 #: Characters of text in a block, about; a longer text is a block by itself. Each block sends its distinct words once.
 BLOCK_CHARS = 32_000_000
@@ -256,11 +256,11 @@ def _assemble(limit: int, name: str):
 
 def encode_documents(docs: DataFrame, path: str = "", pat: str = "", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian 32-bit numbers, packed) for each row of docs (doc_id, text)."""
-    return _encoded(docs, path, pat, block_chars)[0].select(F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), "ids")))
+    return _encoded(docs, path, pat, block_chars).select(F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), "ids")))
 
 
-def _encoded(docs: DataFrame, path: str, pat: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks of encoded documents (named, docs, ids), and the table of blocks that they are made of."""
+def _encoded(docs: DataFrame, path: str, pat: str, block_chars: int) -> DataFrame:
+    """Chunks of encoded documents: named, docs, ids."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -271,7 +271,7 @@ def _encoded(docs: DataFrame, path: str, pat: str, block_chars: int) -> tuple[Da
     uses = blocks.select(F.col("block").alias("owner"), F.posexplode("words").alias("number", "word"))
     sent = uses.select("word", "owner", "number").repartition(n, "word").sortWithinPartitions("word")
     encoded = sent.mapInArrow(_encode_words(path, pat), "owner bigint, numbers binary, sizes binary, flat binary")
-    return blocks.select("block", "docs", "sizes", "seq").groupBy("block").cogroup(encoded.groupBy("owner")).applyInArrow(_assemble(CHUNK_IDS, path or DEFAULT_VOCABULARY), "named string, docs array<bigint>, ids array<binary>"), blocks
+    return blocks.select("block", "docs", "sizes", "seq").groupBy("block").cogroup(encoded.groupBy("owner")).applyInArrow(_assemble(CHUNK_IDS, path or DEFAULT_VOCABULARY), "named string, docs array<bigint>, ids array<binary>")
 
 
 def token_bytes(spark, path: str = "") -> DataFrame:
@@ -335,10 +335,8 @@ def _digests(chunks: DataFrame, path: str) -> DataFrame:
 
 def digest_documents(docs: DataFrame, path: str = "", pat: str = "", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The digests of each row of docs (doc_id, text), stored; nothing else is left behind."""
-    chunks, blocks = _encoded(docs, path, pat, block_chars)
-    out = store(_digests(chunks, path), "digests")
-    forget(blocks)
-    return out
+    with scratch(docs.sparkSession) as keep:
+        return keep(_digests(_encoded(docs, path, pat, block_chars), path), "digests")
 
 
 def op8_byte_bpe(spark, sf_dir):

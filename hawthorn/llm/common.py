@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -12,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders made in the innermost scratch() of a thread.
+_open = threading.local()
 #: Rows up to which a keyed side may be broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 20_000
 #: Copies of each key in a salted join.
@@ -37,7 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/hawthorn/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/hawthorn/{label}-{uuid.uuid4().hex}"
+    made = getattr(_open, "made", None)
+    if made is not None:
+        made.append(path)
+    return path
 
 
 @contextmanager
@@ -52,11 +60,38 @@ def small_batches(spark: SparkSession, size: int = 4 << 20):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored within it are deleted at its end, also where it fails; what it yields stores one that stays (until an outer scratch ends)."""
+    outer = getattr(_open, "made", None)
+    made, kept = [], []
+    _open.made = made
+
+    def keep(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+        out = store(df, label, codec)
+        kept.append(made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.made = outer
+        if outer is not None:
+            outer += kept
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def store(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,16 +122,14 @@ def store_by(df: DataFrame, label: str, keys: list[str], codec: str = "snappy")
 
 def folders(df: DataFrame) -> list[str]:
     """The folders of tables made by store() that df reads."""
-    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles() if "/hawthorn/" in f})
+    found = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return sorted(f for f in found if re.search("/hawthorn/[^/]+-[0-9a-f]{32}$", f))
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by store(); only for tables that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in folders(df):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

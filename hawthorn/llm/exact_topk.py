@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import folders, forget, store
+from .common import folders, scratch, store
 
 SCALE, K, LEAD, BLOCK_ROWS, LONGEST = 64, 20, 16, 16384, 8192
 #: A place not taken, and scores below and above what a long can hold.
@@ -167,7 +167,12 @@ def _starts(heads: tuple[np.ndarray, np.ndarray], dims: int, k: int, step: int =
 
 
 def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lead: int = LEAD, block_rows: int = BLOCK_ROWS, longest: int = LONGEST) -> DataFrame:
-    """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by every."""
+    """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by every. Stored."""
+    with scratch(table.sparkSession) as keep:
+        return keep(_best(table, every, k, scale, lead, block_rows, longest), "top-k")
+
+
+def _best(table: DataFrame, every: int, k: int, scale: int, lead: int, block_rows: int, longest: int) -> DataFrame:
     spark = table.sparkSession
     sc = spark.sparkContext
     schema = "query_id long, rank int, vec_id long, score long"
@@ -195,8 +200,6 @@ def top_k(table: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, lea
         hits = ordered.select("vec_id", "v").mapInArrow(_scan(lambda block=block: block.value, k, min(lead, dims)), "query_id bigint, place bigint, vec_id bigint, score bigint")
         found.append(store(hits, "hits"))
         block.destroy()
-    forget(asked)
-    forget(ordered)
     out = spark.read.schema(found[0].schema).parquet(*[folder for x in found for folder in folders(x)])
     window = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     score = F.when(F.col("score").isin(LOW, HIGH), F.raise_error("a score is beyond 64 bits").cast("long")).otherwise(F.col("score"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import bounded, forget, packed, store
+from .common import bounded, forget, packed, scratch, store
 from .components import components
 
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 36, 5
@@ -186,7 +186,12 @@ def _sharing(gaps: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); stored."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_linked(docs, words, percent, bands, rows), "near-duplicates")
+
+
+def _linked(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     owner = None
     if not texts.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():

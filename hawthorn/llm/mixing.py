@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, keyed_join, packed, store
+from .common import keyed_join, packed, scratch, store
 
 BLOCKS = 1024
 ENTROPY, REPEATS, BUDGET, SEED = 0.85, 4.0, 1.0, 11
@@ -90,6 +90,11 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
 
     budget is a multiple of the tokens there are.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_planned(docs, entropy, repeats, budget), "plan")
+
+
+def _planned(docs: DataFrame, entropy: float, repeats: float, budget: float) -> DataFrame:
     rows = store(docs.select("source", _block().alias("block"), _order().alias("at"), n_tokens(F.col("text")).alias("n")), "mix-rows")
     by_source = rows.groupBy("source").agg(F.sum("n").alias("tokens"))
     total, number = by_source.filter("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
@@ -113,9 +118,7 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     inside = inside.withColumn("sum", F.sum("n").over(Window.partitionBy("source").orderBy("at"))).filter(F.col("sum") <= F.col("room"))
     last = inside.groupBy("source").agg(F.max("at").alias("cut_order"))
     out = keyed_join(keyed_join(quotas.drop("rest"), cuts.select("source", "cut_block"), ["source"]), last, ["source"])
-    out = store(out.withColumn("cut_block", F.coalesce("cut_block", F.lit(BLOCKS))), "plan")
-    forget(rows)
-    return out
+    return out.withColumn("cut_block", F.coalesce("cut_block", F.lit(BLOCKS)))
 
 
 def assigned(docs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, let, packed, store
+from .common import keyed_join, let, packed, scratch, store
 
 SPACE = r"[\x20\x09-\x0D]+"
 DIMS = 4
@@ -222,16 +222,17 @@ class Estimate:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row for each of docs (doc_id, text, lang, source)."""
-    stats = store(statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "statistics")
-    judged = Estimate(stats).distances(stats)
+    """One row for each of docs (doc_id, text, lang, source); stored."""
     plain = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in plain], "base_failed", "kept", "distance")
+    with scratch(docs.sparkSession) as keep:
+        stats = store(statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "statistics")
+        judged = Estimate(stats).distances(stats)
+        return keep(judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in plain], "base_failed", "kept", "distance"), "judged")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones; columns as they are. Rows are stored once beside their statistics, so that texts are judged in one pass."""
-    stats = store(statistics(packed(docs, "text", "lang", "source")).drop("text"), "statistics")
+    stats = store(statistics(packed(docs, "text", "lang", "source")).drop("text"), "statistics", "zstd")
     return Estimate(stats).distances(stats).filter("kept").select("_doc.*")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import forget, store, store_by
+from .common import forget, scratch, store, store_by
 
 _U = np.uint64
 LENGTH, GRAM = 100, 40
@@ -352,13 +352,12 @@ def _judged(docs: DataFrame, keep, schema, length: int, **how) -> DataFrame:
     """docs (doc_id, text, ...) without text, and what keep says of each text; stored."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = store_by(numbered(docs).repartition(n, "row"), "by-row", ["row"], "zstd")
-    _release(spark)
-    spans = repeated_spans(rows.select("row", "text"), length=length, **how)
-    joined = rows.join(spans.select(F.col("row").alias("_r"), "spans"), F.col("row") == F.col("_r"), "left")
-    out = store(joined.select(*[F.col(c) for c in docs.columns if c != "text"], "text", "spans").mapInArrow(_apply(length, keep), schema), "judged")
-    forget(rows)
-    return out
+    with scratch(spark) as stay:
+        rows = store_by(numbered(docs).repartition(n, "row"), "by-row", ["row"], "zstd")
+        _release(spark)
+        spans = repeated_spans(rows.select("row", "text"), length=length, **how)
+        joined = rows.join(spans.select(F.col("row").alias("_r"), "spans"), F.col("row") == F.col("_r"), "left")
+        return stay(joined.select(*[F.col(c) for c in docs.columns if c != "text"], "text", "spans").mapInArrow(_apply(length, keep), schema), "judged", "zstd")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:

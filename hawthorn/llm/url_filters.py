@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, store
+from .common import keyed_join, scratch, store
 
 UNIT = 1 << 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,7 +85,12 @@ def spread(links: DataFrame, seeds: DataFrame, hosts: DataFrame, rounds: int, da
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: int = 85, percent: int = 50) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html)."""
+    """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html); stored."""
+    with scratch(pages.sparkSession) as keep:
+        return keep(_judged(pages, rules, rounds, damping, percent), "judged")
+
+
+def _judged(pages: DataFrame, rules, rounds: int, damping: int, percent: int) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     split = split.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))

@@ -1,13 +1,14 @@
 """The pipeline against a brute-force version, stage by stage."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from hawthorn.llm import bpe, mixing, quality_rules, registry
+from hawthorn.llm import bpe, common, mixing, quality_rules, registry
 from test_small import WORD, brute_repeats, sentence
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,6 +67,10 @@ def test_stages(spark, folder):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()) == want
 
 
+def shared(spark):
+    return f"{common.shared_dir(spark).removeprefix('file://')}/hawthorn"
+
+
 def _written(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{path}/documents.parquet")
     return str(path)
@@ -90,7 +95,9 @@ def test_repeated_ids_ties_and_columns_of_clashing_names(spark, tmp_path):
         assert after.columns == docs.columns
         for row in after.limit(20).collect():
             assert {row[c].removeprefix(c) for c in extra} == {row["_doc"].removeprefix("_doc")}
+    before = set(os.listdir(shared(spark)))
     out = corpus_pipeline.run(spark, folder)
+    assert len(set(os.listdir(shared(spark))) - before) == 1  # the result alone is left
     assert 0 < out.count() <= 2 * len(rows) and {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
 
 

@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hawthorn.llm import bpe, chat_format, exact_topk, kernels, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from hawthorn.llm import bpe, chat_format, common, exact_topk, kernels, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, v string, span string"
@@ -427,14 +428,14 @@ def test_top_k_of_large_vectors(spark):
     for q in range(0, 101, 20):
         others = {c: v for c, v in whole.items() if c == q or c % 20}
         want = sorted((-sum(x * y for x, y in zip(others[q], v)), c) for c, v in others.items() if c != q)[:10]
-        got = exact_topk.top_k(df.filter((F.col("vec_id") == q) | (F.col("vec_id") % 20 != 0)), k=10).orderBy("rank")
+        got = lambda q=q: exact_topk.top_k(df.filter((F.col("vec_id") == q) | (F.col("vec_id") % 20 != 0)), k=10).orderBy("rank").collect()
         if any(abs(s) >= 2**63 for s, _ in want):
             failed += 1
             with pytest.raises(Exception, match="beyond 64 bits"):
-                got.collect()
+                got()
         else:
             large += any(abs(s) >= 2**53 for s, _ in want)
-            assert [(r.vec_id, r.score) for r in got.collect()] == [(c, -s) for s, c in want]
+            assert [(r.vec_id, r.score) for r in got()] == [(c, -s) for s, c in want]
     assert large and failed
 
 
@@ -592,3 +593,40 @@ def test_short_notices(spark):
     assert found(license_scan.TEMPLATES | license_scan.NOTICES) == sorted([*notices, (5, "MIT-line", 1, 1, 0)])
     with pytest.raises(ValueError, match="blank"):
         license_scan.Templates(spark, {"blank": " .. "})
+
+
+def test_tables_of_a_scratch_go(spark, docs):
+    """What is stored within a scratch goes at its end, also where it fails; what it keeps stays, until an outer one ends."""
+    here = lambda df: len(df.inputFiles()) > 0 and os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    with common.scratch(spark) as outer:
+        with common.scratch(spark) as keep:
+            gone, held = common.store(docs.select("doc_id"), "a"), keep(docs.select("doc_id"), "b")
+            assert here(gone)
+        assert not here(gone) and here(held)
+        with pytest.raises(ValueError), common.scratch(spark):
+            failed = common.store_by(docs.select("doc_id"), "c", ["doc_id"])
+            raise ValueError
+        assert not here(failed)
+        last = outer(held, "d")
+    assert not here(held) and here(last) and last.count() == docs.count()
+    kept = common.store(last, "e")
+    assert here(kept)
+    common.forget(kept)
+    assert not here(kept)
+
+
+def test_no_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session)
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
