@@ -57,6 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for documents in sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.store(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        with common.scratch(spark) as keep:
+            after = keep(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}", "zstd")
+        if i:  # what the stage before has stored; never the input
+            common.forget(docs)
+        docs = after
+    return docs

@@ -20,6 +20,7 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="hawthorn-wh-"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="hawthorn-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
