@@ -132,14 +132,14 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", known: int | None = None) -> DataFrame:
     """Joins parameters onto rows whatever the skew of the keys, null keys included.
 
-    small holds one row for each key. It is counted first: up to BROADCAST_ROWS rows it is
-    broadcast, beyond that both sides are salted, so that a key with a third of all
+    small holds one row for each key. It is counted first, unless its number of rows is known: up to BROADCAST_ROWS
+    rows it is broadcast, beyond that both sides are salted, so that a key with a third of all
     rows is spread over SALTS tasks.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (small.limit(BROADCAST_ROWS + 1).count() if known is None else known) <= BROADCAST_ROWS:
         side, on = F.broadcast(small), keys
         left = big
     else:

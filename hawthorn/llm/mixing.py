@@ -3,7 +3,7 @@
 A source's share of tokens s becomes a weight in proportion to s**a. Of exponents from 1 (as it is)
 to 0 (all equal) the largest is sought that meets the target entropy (a share of log(number of
 sources)); if some source would then be repeated more than `repeats` times, the least
-exponent above it that keeps to the limit. Both are monotone, and are bisected five levels
+exponent above it that keeps to the limit. Both are monotone, and are bisected ten levels
 at a time, each time by one aggregation over the table of sources.
 
 A source with weight w gets floor(w * budget) tokens: whole epochs, and a rest. Its
@@ -28,7 +28,7 @@ from .common import keyed_join, packed, scratch, store
 
 BLOCKS = 1024
 ENTROPY, REPEATS, BUDGET, SEED = 0.85, 4.0, 1.0, 11
-LEVELS, ROUNDS = 5, 6
+LEVELS, ROUNDS = 10, 3
 
 
 def n_tokens(text: Column) -> Column:
@@ -50,37 +50,30 @@ def _turned(block: Column, source: Column, epoch: Column) -> Column:
 
 
 def _search(sources: DataFrame, test, low: float, high: float, rising: bool) -> float:
-    """Bisects [low, high] for the edge of test(exponent) -> aggregate bool Column, five levels at a time.
+    """Bisects [low, high] for the edge of test(w, a, total w) -> aggregate bool Column, ten levels at a time: each source tries all points of a grid.
 
     rising: the test holds above the edge, and the least exponent where it holds is sought; else the largest.
     """
     steps = 1 << LEVELS
     for _ in range(ROUNDS):
-        grid = [low + (high - low) * i / steps for i in range(steps + 1)]
-        row = sources.agg(*[test(a).alias(f"t{i}") for i, a in enumerate(grid)]).first()
-        holds = [i for i in range(steps + 1) if row[i]]
+        at = lambda i: low + (high - low) * i / steps  # noqa: E731, B023
+        tried = sources.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("a", at(F.col("i")))
+        holds = sorted(r.i for r in tried.withColumn("w", F.pow("share", "a")).groupBy("i").agg(test.alias("holds")).filter("holds").select("i").collect())
         if rising:
             k = min(holds, default=steps)
-            low, high = grid[max(0, k - 1)], grid[k]
+            low, high = at(max(0, k - 1)), at(k)
         else:
             k = max(holds, default=0)
-            low, high = grid[k], grid[min(steps, k + 1)]
+            low, high = at(k), at(min(steps, k + 1))
     return high if rising else low
 
 
 def exponent(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = BUDGET) -> float:
     """sources: one row for each with share > 0 (and n, their number, in each row)."""
-
-    def spread_enough(a):
-        w = F.pow("share", F.lit(a))
-        z = F.sum(w)
-        # H = log Z - a * sum(w log s) / Z
-        return F.log(z) - a * F.sum(w * F.log("share")) / z >= F.lit(entropy) * F.log(F.max("n").cast("double")) - 1e-12
-
-    def few_repeats(a):
-        w = F.pow("share", F.lit(a))
-        return F.max(w / F.col("share")) / F.sum(w) * budget <= repeats
-
+    z, a = F.sum("w"), F.max("a")
+    # H = log Z - a * sum(w log s) / Z
+    spread_enough = F.log(z) - a * F.sum(F.col("w") * F.log("share")) / z >= F.lit(entropy) * F.log(F.max("n").cast("double")) - 1e-12
+    few_repeats = F.max(F.col("w") / F.col("share")) / z * budget <= repeats
     a = _search(sources, spread_enough, 0.0, 1.0, rising=False)
     return max(a, _search(sources, few_repeats, 0.0, 1.0, rising=True)) if budget <= repeats else 1.0
 
@@ -108,16 +101,16 @@ def _planned(docs: DataFrame, entropy: float, repeats: float, budget: float) ->
     quotas = store(quotas.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens")), "quotas")
     # whole blocks that fit, in the order of the last epoch
     sums = rows.groupBy("source", "block").agg(F.sum("n").alias("n"))
-    placed = keyed_join(sums, quotas.select("source", "epochs", "rest"), ["source"], "inner").withColumn("place", _turned(F.col("block"), F.col("source"), F.col("epochs")))
+    placed = keyed_join(sums, quotas.select("source", "epochs", "rest"), ["source"], "inner", number).withColumn("place", _turned(F.col("block"), F.col("source"), F.col("epochs")))
     run = Window.partitionBy("source").orderBy("place")
     placed = placed.withColumn("sum", F.sum("n").over(run))
     over = placed.filter(F.col("sum") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("place", "block", (F.col("rest") - F.col("sum") + F.col("n")).alias("room")), "place").alias("cut"))
     cuts = store(over.select("source", F.col("cut.place").alias("cut_block"), F.col("cut.block").alias("block"), F.col("cut.room").alias("room")), "cuts")
     # of the next block, documents in hash order; those of one hash go together
-    inside = keyed_join(rows, cuts.withColumnRenamed("block", "b2"), ["source"], "inner").filter(F.col("block") == F.col("b2")).groupBy("source", "at", "room").agg(F.sum("n").alias("n"))
+    inside = keyed_join(rows, cuts.withColumnRenamed("block", "b2"), ["source"], "inner", number).filter(F.col("block") == F.col("b2")).groupBy("source", "at", "room").agg(F.sum("n").alias("n"))
     inside = inside.withColumn("sum", F.sum("n").over(Window.partitionBy("source").orderBy("at"))).filter(F.col("sum") <= F.col("room"))
     last = inside.groupBy("source").agg(F.max("at").alias("cut_order"))
-    out = keyed_join(keyed_join(quotas.drop("rest"), cuts.select("source", "cut_block"), ["source"]), last, ["source"])
+    out = keyed_join(keyed_join(quotas.drop("rest"), cuts.select("source", "cut_block"), ["source"], known=number), last, ["source"], known=number)
     return out.withColumn("cut_block", F.coalesce("cut_block", F.lit(BLOCKS)))
 
 

@@ -152,9 +152,9 @@ def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     return g.select(*keys, *out)
 
 
-def _starts(rows: DataFrame, wide: DataFrame) -> DataFrame:
-    """keys, start, m0.., c00..: three first estimates for each group; wide: keys, m0.. (medians), d0.. (deviations)."""
-    near = keyed_join(rows, wide, KEYS, "inner").withColumns({f"y{i}": (F.col(Z[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"d{i}") ** 2 + FLOOR[i] ** 2) for i in range(DIMS)})
+def _starts(rows: DataFrame, wide: DataFrame, n: int) -> DataFrame:
+    """keys, start, m0.., c00..: three first estimates for each group; wide: keys, m0.. (medians), d0.. (deviations), n rows."""
+    near = keyed_join(rows, wide, KEYS, "inner", known=n).withColumns({f"y{i}": (F.col(Z[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"d{i}") ** 2 + FLOOR[i] ** 2) for i in range(DIMS)})
     square = sum((F.col(f"y{i}") ** 2 for i in range(DIMS)), F.lit(0.0))
     kinds = [("a", lambda i: F.col(f"y{i}") / F.sqrt(square + 1e-12)), ("b", lambda i: F.tanh(f"y{i}"))]
     sums = near.groupBy(*KEYS).agg(*[F.sum(x(i) * x(j)).alias(f"{k}{i}{j}") for k, x in kinds for i, j in PLACES])
@@ -185,7 +185,8 @@ class Estimate:
         )
         rows = self.vectors(stats.select("lang", "source", *[c for c in stats.columns if c.startswith("q_")])).filter("q_n_words > 0").select(*KEYS, *Z)
         rows = store(rows, "vectors")
-        enough = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*KEYS)
+        enough = store(rows.groupBy(*KEYS).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*KEYS), "enough")
+        n = enough.count()
         # medians and absolute deviations, dimension by dimension, in bins of 1/2000
         long = rows.select(*KEYS, F.posexplode(F.array(*Z)).alias("dim", "z")).withColumn("bin", F.floor(F.col("z") * 2000))
         mids = store(_quantile(long, [*KEYS, "dim"], "bin", 0.5).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000).alias("mid")), "mids")
@@ -196,27 +197,29 @@ class Estimate:
             *[F.max(F.when(F.col("dim") == i, F.col("mad"))).alias(f"d{i}") for i in range(DIMS)],
         )
         tried = [*KEYS, "start"]
-        groups = store(_whitened(_starts(rows, store(wide.join(enough, KEYS), "wide")), tried), "groups")
+        groups = store(_whitened(_starts(rows, store(wide.join(enough, KEYS), "wide"), n), tried), "groups")
         kept_cov = SHARE / _chi2_cdf(_chi2_quantile(SHARE, DIMS), DIMS + 2)
-        for _ in range(steps):
-            far = keyed_join(rows, groups, KEYS, "inner").select(*tried, *Z, F.floor(F.log(_distance() + 1e-4) * 64).alias("bin"))
+        for step in range(steps):
+            far = keyed_join(rows, groups, KEYS, "inner", 3 * n).select(*tried, *Z, F.floor(F.log(_distance() + 1e-4) * 64).alias("bin"))
             cuts = store(_quantile(far, tried, "bin", SHARE), "cuts")
-            near = keyed_join(far, cuts, tried, "inner").filter("bin <= cut")
+            near = keyed_join(far, cuts, tried, "inner", 3 * n).filter("bin <= cut")
             before = groups.select(*[F.col(k).alias(f"b_{k}") for k in tried], F.col("logdet").alias("b_logdet"))
             groups = store(_whitened(_moments(near, tried, kept_cov), tried), "groups")
-            moved = groups.join(before, [F.col(k) == F.col(f"b_{k}") for k in tried]).filter(F.abs(F.col("logdet") - F.col("b_logdet")) > 1e-9)
-            if moved.isEmpty():
-                break
+            if step % 3 == 2:
+                moved = groups.join(before, [F.col(k) == F.col(f"b_{k}") for k in tried]).filter(F.abs(F.col("logdet") - F.col("b_logdet")) > 1e-9)
+                if moved.isEmpty():
+                    break
         least_det = groups.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *[c for c in groups.columns if c[0] in "mw"])).alias("g")).select(*KEYS, "g.*")
-        near = keyed_join(rows, store(least_det, "groups"), KEYS, "inner").filter(_distance() <= _chi2_quantile(0.975, DIMS))
+        near = keyed_join(rows, store(least_det, "groups"), KEYS, "inner", n).filter(_distance() <= _chi2_quantile(0.975, DIMS))
         self.groups = store(_whitened(_moments(near, KEYS, 0.975 / _chi2_cdf(_chi2_quantile(0.975, DIMS), DIMS + 2)), KEYS).drop("logdet"), "groups")
+        self.n = n
 
     def vectors(self, stats: DataFrame) -> DataFrame:
         return _vectors(keyed_join(stats, self.pools, ["lang", "source"]), self.shares)
 
     def distances(self, stats: DataFrame) -> DataFrame:
         """stats with base_failed, distance (null: no estimate or no words) and kept."""
-        far = keyed_join(self.vectors(stats), self.groups, KEYS)
+        far = keyed_join(self.vectors(stats), self.groups, KEYS, known=self.n)
         far = far.withColumn("distance", F.when(F.col("q_n_words") > 0, _distance())).withColumn("base_failed", _base_failed())
         return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= _chi2_quantile(1 - TAIL, DIMS), F.lit(True)))
 

@@ -382,6 +382,13 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_with_columns_of_clashing_names(spark):
+    rows = [(1, 0, "user", "hi", "a"), (1, 1, "assistant", "yo", "b"), (None, 0, "user", None, "c")]
+    df = spark.createDataFrame([(*r, *[r[4]] * 5) for r in rows], "conv_id long, turn long, role string, text string, x string, turns string, formatted string, n_turns string, t string, k string")
+    plain = {tuple(r) for r in chat_format.digests(chat_format.format_conversations(df.select("conv_id", "turn", "role", "text"))).collect()}
+    assert {tuple(r) for r in chat_format.digests(chat_format.format_conversations(df)).collect()} == plain and len(plain) == 2
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 7)]) for i in range(300)]
