@@ -23,7 +23,8 @@ def first_match(rows: DataFrame, name: str, candidates: DataFrame, candidate: st
     listed = [(r.x.o, r.x.c, r.x.n) for r in one.collect()]
     spark = rows.sparkSession
     table = spark.createDataFrame([(0, [(c, n) for _, c, n in sorted(listed)])], "_one int, _list array<struct<c string, n string>>")
-    names = rows.select(tx.normal_name(F.col(name)).alias("_name")).filter("_name <> ''").distinct().withColumn("_k", F.lit(0) + F.length("_name") * 0)
+    # the list is one row: it is met by a key that every name has, not by a join without one
+    names = rows.select(tx.normal_name(F.col(name)).alias("_name")).filter("_name <> ''").distinct().withColumn("_k", F.length("_name") * 0)
     fits = lambda x: (x["n"] != "") & (F.contains("_name", x["n"]) | F.contains(x["n"], F.col("_name")))
     found = names.join(F.broadcast(table), F.col("_k") == F.col("_one")).select("_name", F.get(F.filter("_list", fits), F.lit(0))["c"].alias(candidate)).filter(F.col(candidate).isNotNull())
     return rows.join(found, tx.normal_name(F.col(name)) == F.col("_name")).drop("_name")
