@@ -223,7 +223,16 @@ def tank_key(plant: Column, tank: Column) -> Column:
     return F.concat_ws("|", plant, tx.tank_key(tank))
 
 
-def _level(rows: DataFrame, kind: str) -> DataFrame:
+def _found_in(rows: DataFrame, other: DataFrame, key: str, other_key: str, by: tuple[str, ...], how: str) -> DataFrame:
+    """rows joined with other on a key within the same values of by, nulls included."""
+    other = other.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = F.col(key) == F.col(other_key)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(other, on, how).drop(*[f"_by_{c}" for c in by])
+
+
+def _level(rows: DataFrame, kind: str, by: tuple[str, ...]) -> DataFrame:
     low = kind == "MIN"
     figure_of = F.col("low" if low else "high")
     plant_id = F.create_map(*[F.lit(x) for kv in PLANTS.items() for x in kv])[F.col("plant")]
@@ -231,12 +240,12 @@ def _level(rows: DataFrame, kind: str) -> DataFrame:
     name = f"inventory_level_{kind.lower()}"
     doc = F.concat(F.lit(f'{{"{name}":{{"value":'), figure(figure_of), F.lit(',"unit":"m"}}'))
     return rows.select(
-        F.concat(F.lit(f"TANK_LEVEL_{kind}_"), plant_id, F.lit("_"), tx.id_suffix(F.col("tank"))).alias("rule_id"), says.alias("description"),
+        *by, F.concat(F.lit(f"TANK_LEVEL_{kind}_"), plant_id, F.lit("_"), tx.id_suffix(F.col("tank"))).alias("rule_id"), says.alias("description"),
         F.array(F.struct(F.lit("T").alias("set_name"), F.lit(None).cast("string").alias("subset_name"), F.col("tank").alias("element"))).alias("sets"), doc.alias("parameters"),
     )
 
 
-def tank_levels(primary: DataFrame, collected: DataFrame, crude: DataFrame, offsets: tuple[int, int] = (0, 20), first: tuple[int, int] = (5, 6)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tank_levels(primary: DataFrame, collected: DataFrame, crude: DataFrame, offsets: tuple[int, int] = (0, 20), first: tuple[int, int] = (5, 6), by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Safe levels of tanks from two sources: (rules, withheld, faults).
 
     primary: rows with two plants side by side (material, tank, -, high, low, ..., height); collected: rows with groups of tanks;
@@ -244,39 +253,41 @@ def tank_levels(primary: DataFrame, collected: DataFrame, crude: DataFrame, offs
     to differ, where it is above the tank's height, and, for tanks of the second source alone, where the first has
     another upper bound without a lower one. faults are what must not be: bounds out of order, a tank twice in a source,
     sources that disagree, a tank of the second source alone in the first plant, or higher than the tank.
+    by: columns of all three inputs that say whose tanks they are. Names are only compared within the same values, and the results
+    carry them; without any, a name is one tank wherever it stands.
     """
     block = lambda o, plant: F.struct(
         F.lit(plant).alias("plant"), F.get("cells", F.lit(o)).alias("material"), F.nullif(F.get("cells", F.lit(o + 1)), F.lit("")).alias("tank"),
         typed(o + 3).alias("high"), typed(o + 4).alias("low"), typed(o + 9).alias("height"),
     )
     blocks = F.array(*[block(o, plant) for o, plant in zip(offsets, PLANTS)])
-    a = primary.filter(F.col("row_no") >= first[0]).select("row_no", F.explode(blocks).alias("b")).select("row_no", "b.*").filter("tank IS NOT NULL AND high IS NOT NULL").withColumn("key", tank_key(F.col("plant"), F.col("tank")))
-    partial = a.filter("low IS NULL").groupBy(F.col("key").alias("p_key")).agg(F.max_by("high", "row_no").alias("p_high"))
+    a = primary.filter(F.col("row_no") >= first[0]).select(*by, "row_no", F.explode(blocks).alias("b")).select(*by, "row_no", "b.*").filter("tank IS NOT NULL AND high IS NOT NULL").withColumn("key", tank_key(F.col("plant"), F.col("tank")))
+    partial = a.filter("low IS NULL").groupBy(*by, F.col("key").alias("p_key")).agg(F.max_by("high", "row_no").alias("p_high"))
     a = a.filter("low IS NOT NULL").withColumn("tank", tx.strip(F.col("tank"))).filter(~F.col("tank").contains(PENDING) & ~F.col("tank").contains(UNKNOWN))
     plant = F.when(F.get("cells", F.lit(1)).contains(next(iter(PLANTS))), next(iter(PLANTS))).otherwise(list(PLANTS)[1])
-    b = collected.filter(F.col("row_no") >= first[1]).select("row_no", plant.alias("plant"), F.get("cells", F.lit(3)).alias("material"), F.get("cells", F.lit(4)).alias("group"), typed(10).alias("high"), typed(11).alias("low"), typed(7).alias("height"))
+    b = collected.filter(F.col("row_no") >= first[1]).select(*by, "row_no", plant.alias("plant"), F.get("cells", F.lit(3)).alias("material"), F.get("cells", F.lit(4)).alias("group"), typed(10).alias("high"), typed(11).alias("low"), typed(7).alias("height"))
     b = b.filter("group <> '' AND high IS NOT NULL AND low IS NOT NULL").withColumn("tank", F.explode(F.split(tx.strip(F.col("group")), r"(?U)[、，,\s]+")))
     b = b.filter((F.col("tank") != "") & ~F.col("tank").contains(PENDING)).drop("group").withColumn("key", tank_key(F.col("plant"), F.col("tank")))
-    twice = lambda df, source: df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(f"twice in the {source} source").alias("fault"))
-    order = lambda df: df.filter("NOT (0 <= low AND low < high)").select("key", F.lit("bounds out of order").alias("fault"))
-    second = b.join(a.select(F.col("key").alias("a_key")), F.col("key") == F.col("a_key"), "left_anti")
-    gone = crude.select(F.col("element").alias("c_tank")).distinct()
-    mine = a.join(gone, F.col("tank") == F.col("c_tank"), "left_anti")
-    other = second.join(gone, F.col("tank") == F.col("c_tank"), "left_anti")
+    twice = lambda df, source: df.groupBy(*by, "key").agg(F.count("*").alias("n")).filter("n > 1").select(*by, "key", F.lit(f"twice in the {source} source").alias("fault"))
+    order = lambda df: df.filter("NOT (0 <= low AND low < high)").select(*by, "key", F.lit("bounds out of order").alias("fault"))
+    second = _found_in(b, a.select(*by, F.col("key").alias("a_key")), "key", "a_key", by, "left_anti")
+    gone = crude.select(*by, F.col("element").alias("c_tank")).distinct()
+    mine = _found_in(a, gone, "tank", "c_tank", by, "left_anti")
+    other = _found_in(second, gone, "tank", "c_tank", by, "left_anti")
     above = F.coalesce(F.col("high") > F.col("height"), F.lit(False))
     plant, starts = DISPUTED
     disputed = (F.col("plant") == plant) & F.expr(" OR ".join(f"startswith(tank, '{s}')" for s in starts))
     high = F.concat(F.lit("上限"), tx.general_number(F.col("high")), F.lit("米高于罐高"), tx.general_number(F.col("height")), F.lit("米"))
     mine = mine.withColumn("reason", F.when(disputed, WITHHELD["disputed"]).when(above, high))
-    other = other.join(partial, F.col("key") == F.col("p_key"), "left").withColumn("reason", F.when(F.col("p_high") != F.col("high"), WITHHELD["partial"]))
-    both = mine.filter("reason IS NULL").join(b.select(F.col("key").alias("b_key"), F.col("high").alias("b_high"), F.col("low").alias("b_low")), F.col("key") == F.col("b_key"))
+    other = _found_in(other, partial, "key", "p_key", by, "left").withColumn("reason", F.when(F.col("p_high") != F.col("high"), WITHHELD["partial"]))
+    both = _found_in(mine.filter("reason IS NULL"), b.select(*by, F.col("key").alias("b_key"), F.col("high").alias("b_high"), F.col("low").alias("b_low")), "key", "b_key", by, "inner")
     faults = twice(a, "first").unionByName(twice(b, "second")).unionByName(order(a)).unionByName(order(other))
-    faults = faults.unionByName(both.filter("b_high <> high OR b_low <> low").select("key", F.lit("sources disagree").alias("fault")))
-    faults = faults.unionByName(other.filter(F.col("plant") != plant).select("key", F.lit("in the second source alone").alias("fault"))).unionByName(other.filter(above).select("key", F.lit("bound above the tank").alias("fault")))
-    columns = ["plant", "tank", "material", "high", "low", "reason"]
+    faults = faults.unionByName(both.filter("b_high <> high OR b_low <> low").select(*by, "key", F.lit("sources disagree").alias("fault")))
+    faults = faults.unionByName(other.filter(F.col("plant") != plant).select(*by, "key", F.lit("in the second source alone").alias("fault"))).unionByName(other.filter(above).select(*by, "key", F.lit("bound above the tank").alias("fault")))
+    columns = [*by, "plant", "tank", "material", "high", "low", "reason"]
     every = mine.select(*columns).unionByName(other.select(*columns))
-    rules = _level(every, "MIN").unionByName(_level(every.filter("reason IS NULL"), "MAX"))
-    return rules, every.filter("reason IS NOT NULL").select("tank", "reason"), faults.distinct()
+    rules = _level(every, "MIN", by).unionByName(_level(every.filter("reason IS NULL"), "MAX", by))
+    return rules, every.filter("reason IS NOT NULL").select(*by, "tank", "reason"), faults.distinct()
 
 
 def start_conditions(tanks: DataFrame) -> DataFrame:

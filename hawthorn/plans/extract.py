@@ -81,16 +81,17 @@ UNION ALL SELECT plant, tank, high, low, CASE WHEN k % 20 = 5 THEN 'partial' END
 plant || tank || '罐（油）安全液位' || CASE kind WHEN 'MIN' THEN '下限' ELSE '上限' END || '为' || CASE kind WHEN 'MIN' THEN low ELSE high END || '米。' AS description FROM f, (VALUES ('MIN'), ('MAX')) v(kind) WHERE kind = 'MIN' OR reason IS NULL""")
 def tank_bounds(spark, sf):
     """Safe levels of tanks from two sources side by side; lower bounds always, upper ones unless withheld."""
-    return ex.tank_levels(*_tank_sources(spark, sf))[0].select("rule_id", "description")
+    return ex.tank_levels(*_tank_sources(spark, sf), by=("s_suppkey",))[0].select("rule_id", "description")
 
 
 @query(f"""WITH {TANK_ROWS} SELECT tank, CASE reason WHEN 'disputed' THEN '车间罐容表与汇总表上限口径不一致' WHEN 'partial' THEN '0724表仅填写的上限与0720表不一致' ELSE '上限' || high || '米高于罐高' || (SELECT height FROM t WHERE t.tank = f.tank) || '米' END AS reason FROM f WHERE reason IS NOT NULL""")
 def tank_withheld(spark, sf):
     """Upper bounds that are withheld, with the reason."""
-    return ex.tank_levels(*_tank_sources(spark, sf))[1]
+    return ex.tank_levels(*_tank_sources(spark, sf), by=("s_suppkey",))[1].select("tank", "reason")
 
 
 def _tank_sources(spark, sf):
+    """Every supplier has books of its own, as in the SQL: two suppliers' tanks may have one name (T-41 and 46, T- and 4146)."""
     k = F.col("s_suppkey")
     text = lambda c: c.cast("string")
     tank = F.when(k % 17 == 3, F.concat(F.lit("待定"), text(k))).when(k % 9 == 1, F.concat(F.lit("T-41"), text(k))).otherwise(F.concat(F.lit("T-"), text(k)))
@@ -98,13 +99,13 @@ def _tank_sources(spark, sf):
     block = [F.lit("油"), tank, F.lit("1"), text(10 + k % 7), F.when(k % 10 != 5, text(1 + k % 2)), none, none, none, none, F.when(k % 4 != 0, text(8 + k % 11))]
     blank = [none] * 10
     rows = table(spark, sf, "supplier")
-    kinds = lambda cells: F.transform(cells, lambda c: F.when(c.rlike(r"^[0-9.]+$"), "n").when(c.isNotNull(), "s")).alias("kinds")
+    kinds = lambda cells: F.transform(cells, lambda c: F.when(c.rlike(r"^-?[0-9.]+$"), "n").when(c.isNotNull(), "s")).alias("kinds")
     cells = F.when(k % 2 == 0, F.array(*block, *blank, *blank)).otherwise(F.array(*blank, *blank, *block))
-    primary = rows.select((k + 5).cast("int").alias("row_no"), cells.alias("cells"), kinds(cells))
+    primary = rows.select(k, F.lit(5).alias("row_no"), cells.alias("cells"), kinds(cells))
     high = 10 + k % 7 + F.when(k % 20 == 5, 1).otherwise(0)
     cells = F.array(F.lit("x"), F.lit("延石化"), none, F.lit("油"), tank, none, none, none, none, none, text(high), F.lit("1"))
-    collected = rows.filter((k % 10 == 5) & (k % 2 == 1)).select((k + 6).cast("int").alias("row_no"), cells.alias("cells"), kinds(cells))
-    crude = rows.filter(k % 23 == 0).select(tank.alias("element"))
+    collected = rows.filter((k % 10 == 5) & (k % 2 == 1)).select(k, F.lit(6).alias("row_no"), cells.alias("cells"), kinds(cells))
+    crude = rows.filter(k % 23 == 0).select(k, tank.alias("element"))
     return primary, collected, crude
 
 

@@ -140,6 +140,25 @@ def test_tank_levels_that_must_not_be(spark, book):
     assert {(r.key, r.fault) for r in faults.collect()} == {("延炼|1", "bounds out of order"), ("延炼|2", "twice in the first source"), ("延炼|3", "sources disagree"), ("延炼|8", "in the second source alone"), ("延石化|9", "bound above the tank")}
 
 
+def test_tank_levels_of_several_owners(spark):
+    """Two owners' tanks of one name have nothing to do with each other; an owner's own are told apart as ever, a null one's too."""
+    cells = lambda tank, high, low, height: [None] * 20 + ["油", tank, "1", high, low, None, None, None, None, height]
+    kinds = lambda row: [None if c is None else "n" if c.isdigit() else "s" for c in row]
+    first = [(1, "T-7", "9", "1", None), (2, "T-7", "8", None, None), (3, "T-7", "9", "1", None), (None, "T-7", "8", None, None), (None, "T-6", "9", "1", None), (4, "T-7", "9", "1", "8")]
+    second = [(2, "7", "8"), (None, "7", "9"), (None, "6", "9"), (5, "T-7", "5")]
+    a = [(o, 5, row, kinds(row)) for o, *rest in first for row in [cells(*rest)]]
+    b = [(o, 6, row, kinds(row)) for o, tank, high in second for row in [["x", "z", None, "油", tank, None, None, None, None, None, high, "1"]]]
+    sources = [spark.createDataFrame(x, "owner long, row_no int, cells array<string>, kinds array<string>") for x in (a, b)]
+    crude = spark.createDataFrame([(3, "T-7"), (2, "T-6"), (None, "T-9")], "owner long, element string")
+    rules, withheld, faults = ex.tank_levels(*sources, crude, by=("owner",))
+    levels = {(r.owner, r.rule_id) for r in rules.collect()}
+    low = {(o, f"TANK_LEVEL_MIN_YSH_{t}") for o, t in [(1, "T7"), (2, "7"), (None, "7"), (None, "T6"), (4, "T7"), (5, "T7")]}
+    assert levels == low | {(o, f"TANK_LEVEL_MAX_YSH_{t}") for o, t in [(1, "T7"), (2, "7"), (None, "T6"), (5, "T7")]} and rules.count() == len(levels)
+    assert {tuple(r) for r in withheld.collect()} == {(None, "7", ex.WITHHELD["partial"]), (4, "T-7", "上限9米高于罐高8米")} and faults.collect() == []
+    twice = ex.tank_levels(sources[0].unionByName(sources[0].filter("owner = 1")), sources[1], crude, by=("owner",))[2]
+    assert [tuple(r) for r in twice.collect()] == [(1, "延石化|7", "twice in the first source")]
+
+
 def test_conditions_and_lint(spark):
     tanks = spark.createDataFrame([("T-4201", "P-4202/AB", 0.65, "开工时")], "tank string, pump string, pressure double, occasion string")
     one = ex.start_conditions(tanks).first()

@@ -40,6 +40,18 @@ def test_query(spark, con, name):
     same(spark, con, engine.queries()[name], engine.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("keys", [
+    [1, 411, 46, 4146, 55, 4155, 145, 41145, 322, 41322, 469, 41469, 325, 41325],  # T-41 and 46 is the name that T- and 4146 is: one covered, one not; one partial, one not
+    [-5, -8, -46, -33, -43], [3_000_000_001, 3_000_000_005, None], [65, 65, 69, 69, 75, 75],
+], ids=["one name", "below 0", "beyond 32 bits", "twice"])
+def test_tank_bounds_of_odd_keys(spark, tmp_path, keys):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT unnest($1)::BIGINT AS s_suppkey", [keys])
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    got = engine.queries()["tank_bounds"](spark, str(tmp_path)).select("rule_id", "description").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(f"SELECT rule_id, description FROM ({engine.oracle_sql()['tank_bounds']})").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
