@@ -20,6 +20,8 @@ _open = threading.local()
 BROADCAST_ROWS = 20_000
 #: Copies of each key in a salted join.
 SALTS = 32
+#: Rows of a small table that are left to one task; tasks that it is left to at least.
+FEW_ROWS, FEW_TASKS = 10_000, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,6 +107,21 @@ def trim() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of plans that are gone, and the driver's heap shrink, before more are made."""
+    spark.range(1).count()  # the session holds the plan that ran last
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, the result of a shuffle that is known to have about so many rows, in as few tasks as they ask for.
+
+    Adaptive execution does so too where it may; without it a table of few rows takes a task, and room in the driver, for each shuffle partition.
+    """
+    return df.coalesce(max(FEW_TASKS, -(-rows // FEW_ROWS)))
+
+
 def store_by(df: DataFrame, label: str, keys: list[str], codec: str = "snappy") -> DataFrame:
     """Like store(), laid out in buckets by keys, as many as there are shuffle partitions: joins and groupings by keys need no shuffle.
 

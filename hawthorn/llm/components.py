@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, store
+from .common import forget, release, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,4 +40,5 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         after = store(_small_star(_large_star(e)), label)
         forget(e)
         e = after
+        release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, let, packed, scratch, store
+from .common import gathered, keyed_join, let, packed, release, scratch, store
 
 SPACE = r"[\x20\x09-\x0D]+"
 DIMS = 4
@@ -36,6 +36,8 @@ SHARE, TAIL = 0.75, 1e-3
 FLOOR = (0.03, 0.03, 0.03, 0.03)
 #: Most concentration steps; rows that a group has at least; characters of the corpus's own shares that each text is given.
 STEPS, LEAST, PRIOR = 12, 50, 200
+#: Bins that a group has about; groups' tables are written by as many tasks as their number asks for.
+BINS = 1000
 Z = [f"z{i}" for i in range(DIMS)]
 KEYS = ["g_lang", "g_source"]
 PLACES = [(i, j) for i in range(DIMS) for j in range(i + 1)]
@@ -101,13 +103,13 @@ def _vectors(stats: DataFrame, shares: dict[str, float]) -> DataFrame:
     return stats.withColumns({"z0": length, "z1": share("q_n_symbols"), "z2": share("q_n_upper"), "z3": share("q_n_punct")})
 
 
-def _quantile(rows: DataFrame, keys: list[str], bin_col: str, q: float) -> DataFrame:
-    """keys, cut: the first bin that with those below holds the share q of the rows."""
+def _quantile(rows: DataFrame, keys: list[str], bin_col: str, q: float, n: int) -> DataFrame:
+    """keys (of n values), cut: the first bin that with those below holds the share q of the rows."""
     counts = rows.groupBy(*keys, bin_col).agg(F.count("*").alias("n"))
     total = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(bin_col, "n"))).alias("bins"), F.sum("n").alias("total"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("cut"))
     step = lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.coalesce(a["cut"], F.when(a["sum"] + x["n"] >= F.ceil(F.col("total") * q), x[bin_col])).alias("cut"))
-    return total.select(*keys, F.aggregate("bins", start, step)["cut"].alias("cut"))
+    return gathered(total.select(*keys, F.aggregate("bins", start, step)["cut"].alias("cut")), n * BINS)
 
 
 def _whitened(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,11 +142,11 @@ def _distance() -> Column:
     return total
 
 
-def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """keys, m0.., c00.. of the rows, covariances times factor and with the floor."""
+def _moments(rows: DataFrame, keys: list[str], factor: float, n: int) -> DataFrame:
+    """keys (of n values), m0.., c00.. of the rows, covariances times factor and with the floor."""
     sums = [F.count("*").alias("n"), *[F.sum(z).alias(f"s{i}") for i, z in enumerate(Z)]]
     sums += [F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"p{i}{j}") for i, j in PLACES]
-    g = rows.groupBy(*keys).agg(*sums)
+    g = gathered(rows.groupBy(*keys).agg(*sums), n)
     out = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)]
     for i, j in PLACES:
         c = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * factor
@@ -158,7 +160,7 @@ def _starts(rows: DataFrame, wide: DataFrame, n: int) -> DataFrame:
     square = sum((F.col(f"y{i}") ** 2 for i in range(DIMS)), F.lit(0.0))
     kinds = [("a", lambda i: F.col(f"y{i}") / F.sqrt(square + 1e-12)), ("b", lambda i: F.tanh(f"y{i}"))]
     sums = near.groupBy(*KEYS).agg(*[F.sum(x(i) * x(j)).alias(f"{k}{i}{j}") for k, x in kinds for i, j in PLACES])
-    both = wide.join(sums, KEYS)
+    both = wide.join(gathered(sums, n), KEYS)
     scale = lambda i: F.sqrt(F.col(f"d{i}") ** 2 + FLOOR[i] ** 2)
     out = None
     for start, k in enumerate(("", "a", "b")):
@@ -189,30 +191,33 @@ class Estimate:
         n = enough.count()
         # medians and absolute deviations, dimension by dimension, in bins of 1/2000
         long = rows.select(*KEYS, F.posexplode(F.array(*Z)).alias("dim", "z")).withColumn("bin", F.floor(F.col("z") * 2000))
-        mids = store(_quantile(long, [*KEYS, "dim"], "bin", 0.5).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000).alias("mid")), "mids")
+        mids = store(_quantile(long, [*KEYS, "dim"], "bin", 0.5, DIMS * n).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000).alias("mid")), "mids")
         away = keyed_join(long.drop("bin"), mids, [*KEYS, "dim"], "inner").withColumn("bin", F.floor(F.abs(F.col("z") - F.col("mid")) * 2000))
-        mads = _quantile(away, [*KEYS, "dim"], "bin", 0.5).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000 * 1.4826).alias("mad"))
+        mads = _quantile(away, [*KEYS, "dim"], "bin", 0.5, DIMS * n).select(*KEYS, "dim", ((F.col("cut") + 0.5) / 2000 * 1.4826).alias("mad"))
         wide = mids.join(mads, [*KEYS, "dim"]).groupBy(*KEYS).agg(
             *[F.max(F.when(F.col("dim") == i, F.col("mid"))).alias(f"m{i}") for i in range(DIMS)],
             *[F.max(F.when(F.col("dim") == i, F.col("mad"))).alias(f"d{i}") for i in range(DIMS)],
         )
         tried = [*KEYS, "start"]
-        groups = store(_whitened(_starts(rows, store(wide.join(enough, KEYS), "wide"), n), tried), "groups")
+        groups = store(_whitened(_starts(rows, store(gathered(wide.join(enough, KEYS), n), "wide"), n), tried), "groups")
         kept_cov = SHARE / _chi2_cdf(_chi2_quantile(SHARE, DIMS), DIMS + 2)
         for step in range(steps):
             far = keyed_join(rows, groups, KEYS, "inner", 3 * n).select(*tried, *Z, F.floor(F.log(_distance() + 1e-4) * 64).alias("bin"))
-            cuts = store(_quantile(far, tried, "bin", SHARE), "cuts")
+            cuts = store(_quantile(far, tried, "bin", SHARE, 3 * n), "cuts")
             near = keyed_join(far, cuts, tried, "inner", 3 * n).filter("bin <= cut")
             before = groups.select(*[F.col(k).alias(f"b_{k}") for k in tried], F.col("logdet").alias("b_logdet"))
-            groups = store(_whitened(_moments(near, tried, kept_cov), tried), "groups")
+            groups = store(_whitened(_moments(near, tried, kept_cov, 3 * n), tried), "groups")
             if step % 3 == 2:
                 moved = groups.join(before, [F.col(k) == F.col(f"b_{k}") for k in tried]).filter(F.abs(F.col("logdet") - F.col("b_logdet")) > 1e-9)
                 if moved.isEmpty():
                     break
+                release(rows.sparkSession)
         least_det = groups.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *[c for c in groups.columns if c[0] in "mw"])).alias("g")).select(*KEYS, "g.*")
+        least_det = gathered(least_det, n)
         near = keyed_join(rows, store(least_det, "groups"), KEYS, "inner", n).filter(_distance() <= _chi2_quantile(0.975, DIMS))
-        self.groups = store(_whitened(_moments(near, KEYS, 0.975 / _chi2_cdf(_chi2_quantile(0.975, DIMS), DIMS + 2)), KEYS).drop("logdet"), "groups")
+        self.groups = store(_whitened(_moments(near, KEYS, 0.975 / _chi2_cdf(_chi2_quantile(0.975, DIMS), DIMS + 2), n), KEYS).drop("logdet"), "groups")
         self.n = n
+        release(rows.sparkSession)
 
     def vectors(self, stats: DataFrame) -> DataFrame:
         return _vectors(keyed_join(stats, self.pools, ["lang", "source"]), self.shares)

@@ -242,6 +242,27 @@ def robust_distances(rows):
     return out
 
 
+def test_tables_of_groups_take_few_tasks(spark):
+    """Groups' tables are a few rows: their tasks must not follow the shuffle partitions, where adaptive execution leaves these as they are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, sentence(rng, 30), "en", "a") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    stats = common.store(quality_rules.statistics(docs).drop("text"), "statistics")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    z = quality_rules.Estimate(stats, steps=0)
+    vectors = z.vectors(stats)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        bins = vectors.select(*quality_rules.KEYS, F.floor(F.col("z0") * 2000).alias("bin"))
+        for table in (quality_rules._quantile(bins, quality_rules.KEYS, "bin", 0.5, 1), quality_rules._moments(vectors, quality_rules.KEYS, 1.0, 1)):
+            assert table.count() == 1 and table.rdd.getNumPartitions() <= common.FEW_TASKS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_outliers_against_numpy(spark):
     rng = np.random.default_rng(31)
     rows = []
